@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from axiomill.core_queries import nt, table
 from axiomill.functions.terms import same_term
 from axiomill.llm.groups import match_groups
+from axiomill.llm.history import repeats
+from axiomill.llm.truncation import cut_documents, cut_rates
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +17,20 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_groups(links, "s", "o")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(table(spark, sf_dir, "accepted"), table(spark, sf_dir, "arrivals"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_documents(table(spark, sf_dir, "documents"))
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_rates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found}
+    return {"p1_found": p1_found, "p7_found": p7_found, "p10_found": p10_found, "p10_rates": p10_rates}
 
 
 def oracle_sql() -> dict[str, str]:
