@@ -30,28 +30,32 @@ LEAST_SHARE = 0.01  # of a source's families that must have the length of a limi
 OF_HIGHEST = 0.2  # a spike below this share of its source's highest is that one's shadow in the other unit
 SLOTS = 1 << 17  # words of 64 bits of the filter of last trigrams
 
-TOKENS = r"filter(split(regexp_replace(lower({text}), '[0-9]+([.,-][0-9]+)*', '#'), '[^\\p{{{{L}}}}\\p{{{{M}}}}#%]+'), w -> w <> '')"
-TRIGRAM = "xxhash64(w[i - 1], w[i], w[i + 1])"
+# runs of letters; of other signs the per cent sign alone is kept, as it stands for a unit: figures go, so they split no counts
+TOKENS = r"split(trim(regexp_replace(lower({text}), '[\\x00-\\x24\\x26-\\x60\\x7B-\\x7F\\u00A0\\u2000-\\u206F]+', ' ')), ' ')"
 # a text that ends inside a character, an entity, a code or a tag
 INSIDE = r"(\\uFFFD|&#?[a-zA-Z0-9]{{1,8}}|\\\\u[0-9a-fA-F]{{0,3}}|<[a-zA-Z/]{{0,8}})$"
 MARK = r"(\\.\\.\\.|…|\\[(\\.\\.\\.|…)\\])\\s*$"
-
-DOCS = """
-select doc_id, coalesce(source, '') as src, coalesce(family_id, -doc_id) as fam, text,
-  coalesce(source is not null, false) as has_src
-from {documents} where doc_id is not null and text is not null
+TAIL = 300  # characters in which the last words are looked for before the whole text is
+
+# one pass over the texts: lengths, the last characters and the last words, which are those of the whole text
+FACTS = f"""
+with d as (
+  select doc_id, coalesce(source, '') as src, source is not null as has_src, coalesce(family_id, -doc_id) as fam, text, right(text, {TAIL}) as tail
+  from {{documents}} where doc_id is not null and text is not null),
+t as (
+  select doc_id, src, has_src, fam, length(text) as chars, octet_length(text) as bytes, right(tail, 16) as tail,
+    {TOKENS.format(text="tail")} as near, text from d),
+w as (
+  select doc_id, src, has_src, fam, chars, bytes, tail,
+    if(size(near) < {DEPTH + 4} and chars > {TAIL}, {TOKENS.format(text="text")}, near) as w from t)
+select doc_id, src, has_src, fam, chars, bytes, tail, slice(w, -least({DEPTH + 2}, size(w)), {DEPTH + 2}) as w from w
 """
 
-# the end of a long text has the same last words as the whole of it
-LAST = f"""
-with t as (
-  select doc_id, src, fam, {TOKENS.format(text="if(length(text) > 2000, right(text, 1000), text)")} as near, text from {{docs}}),
-w as (
-  select doc_id, src, fam, if(size(near) < {DEPTH + 4} and length(text) > 2000, {TOKENS.format(text="text")}, near) as w from t),
-e as (
+LAST = """
+with e as (
   select doc_id, src, fam, w[size(w) - 2] as b1, w[size(w) - 1] as b2,
-    explode(transform(sequence(0, least({DEPTH}, size(w) - 2) - 1), d -> struct(d, xxhash64(w[size(w) - 3 - d], w[size(w) - 2 - d], w[size(w) - 1 - d]) as tri))) as x
-  from w where size(w) >= 3)
+    explode(transform(sequence(0, size(w) - 3), d -> struct(d, xxhash64(w[size(w) - 3 - d], w[size(w) - 2 - d], w[size(w) - 1 - d]) as tri))) as x
+  from {facts} where size(w) >= 3)
 select doc_id, src, fam, x.d, x.tri, xxhash64(b1, b2) as bi from e
 """
 
@@ -67,12 +71,9 @@ select transform(sort_array(collect_list(struct(slot, bits))), x -> x.bits) as b
 """
 
 INSIDE_COUNTS = f"""
-with w as (select src, {TOKENS.format(text="text")} as w from {{docs}}),
-g as (
-  select src, explode(concat(
-    transform(sequence(1, size(w) - 2), i -> {TRIGRAM}),
-    transform(sequence(1, size(w) - 1), i -> xxhash64(w[i - 1], w[i])))) as g
-  from w where size(w) >= 3)
+with w as (select coalesce(source, '') as src, {TOKENS.format(text="text")} as w from {{documents}} where doc_id is not null and text is not null),
+x as (select src, explode(arrays_zip(a, b, c)) as x from (select src, w as a, slice(w, 2, size(w)) as b, slice(w, 3, size(w)) as c from w where size(w) >= 3)),
+g as (select src, explode(array(xxhash64(x.a, x.b, x.c), xxhash64(x.a, x.b))) as g from x where x.c is not null)
 select src, g, count(*) as n from g
 where getbit((select bits from {{bits}})[cast(pmod(g, {SLOTS * 64}) div 64 as int)], cast(pmod(g, {SLOTS * 64}) % 64 as int)) = 1
 group by src, g
@@ -112,7 +113,7 @@ where not closing and not usual_in_source and (certain or (rare_end and not usua
 LIMITS = f"""
 with n as (
   select src, unit, l, count(distinct fam) as f
-  from (select src, fam, stack(2, 'chars', length(text), 'bytes', octet_length(text)) as (unit, l) from {{docs}} where has_src and not text rlike '{MARK}')
+  from (select src, fam, stack(2, 'chars', chars, 'bytes', bytes) as (unit, l) from {{facts}} where has_src and not tail rlike '{MARK}')
   group by src, unit, l),
 m as (
   select src, unit, l, f, sum(f) over (partition by src, unit) as total,
@@ -127,7 +128,7 @@ select src, unit, l from s where f >= {OF_HIGHEST} * highest
 
 # texts closed by a mark of omission, where those of their source have nearly one length
 MARKED = f"""
-with m as (select doc_id, src, fam, length(text) as l from {{docs}} where has_src and text rlike '{MARK}'),
+with m as (select doc_id, src, fam, chars as l from {{facts}} where has_src and tail rlike '{MARK}'),
 c as (select src, l div 16 as slot, count(distinct fam) as f from m group by 1, 2),
 a as (
   select src, slot, sum(f) over (partition by src order by slot range between 1 preceding and 1 following) as near, sum(f) over (partition by src) as total from c)
@@ -135,9 +136,9 @@ select m.doc_id from m join a on a.src = m.src and a.slot = m.l div 16 where a.n
 """
 
 AT_LIMIT = r"""
-select d.doc_id from {docs} d join {limits} l on l.src = d.src
-where d.has_src and if(l.unit = 'chars', length(d.text), octet_length(d.text)) = l.l
-   or d.has_src and l.unit = 'chars' and length(d.text) between l.l - 2 and l.l - 1 and not d.text rlike '[.!?*)]\\s*$'
+select d.doc_id from {facts} d join {limits} l on l.src = d.src
+where d.has_src and if(l.unit = 'chars', d.chars, d.bytes) = l.l
+   or d.has_src and l.unit = 'chars' and d.chars between l.l - 2 and l.l - 1 and not d.tail rlike '[.!?*]\\s*$'
 """
 
 
@@ -151,16 +152,17 @@ def cut_documents(documents: DataFrame, ws: Workspace | None = None) -> DataFram
     """
     spark: SparkSession = documents.sparkSession
     ws = ws or Workspace(spark)
-    docs = spark.sql(DOCS, documents=documents.select("doc_id", "source", "family_id", "text"))
-    last = ws.save(spark.sql(LAST, docs=docs), "last")
+    documents = documents.select("doc_id", "source", "family_id", "text")
+    facts = ws.save(spark.sql(FACTS, documents=documents), "facts")
+    last = ws.save(spark.sql(LAST, facts=facts), "last")
     bits = ws.save(spark.sql(BITS, last=last), "bits")
-    inside = ws.save(spark.sql(INSIDE_COUNTS, docs=docs, bits=bits), "inside")
-    limits = ws.save(spark.sql(LIMITS, docs=docs), "limits")
+    inside = ws.save(spark.sql(INSIDE_COUNTS, documents=documents, bits=bits), "inside")
+    limits = ws.save(spark.sql(LIMITS, facts=facts), "limits")
     parts = [
         spark.sql(EVIDENCE, last=last, inside=inside),
-        spark.sql(f"select doc_id from {{docs}} where text rlike '{INSIDE}'", docs=docs),
-        spark.sql(MARKED, docs=docs),
-        spark.sql(AT_LIMIT, docs=docs, limits=limits),
+        spark.sql(f"select doc_id from {{facts}} where tail rlike '{INSIDE}'", facts=facts),
+        spark.sql(MARKED, facts=facts),
+        spark.sql(AT_LIMIT, facts=facts, limits=limits),
     ]
     out = parts[0]
     for p in parts[1:]:
