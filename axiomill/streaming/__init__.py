@@ -1 +1,31 @@
-"""Structured Streaming wrappers."""
+"""Materialisation of a stream of triples, micro-batch by micro-batch.
+
+Facts never expire and their order does not matter, so late rows need no watermark:
+each batch is added to the closure like any other addition. A batch that is
+delivered again finds all its triples there and adds nothing.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+
+from axiomill.plans.fixpoint import Closure
+
+
+class StreamingClosure:
+    """A closure that follows a streaming frame (s, p, o)."""
+
+    def __init__(self, closure: Closure):
+        self.closure = closure
+        self.last_batch = -1
+
+    def _take(self, batch: DataFrame, batch_id: int) -> None:
+        if batch_id <= self.last_batch:
+            return
+        self.closure.add(batch.select("s", "p", "o"))
+        self.last_batch = batch_id
+
+    def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
+        writer: DataStreamWriter = stream.writeStream.foreachBatch(self._take).option("checkpointLocation", checkpoint)
+        return (writer.trigger(**trigger) if trigger else writer).start()
