@@ -14,7 +14,7 @@ from axiomill.vocab import RDF, XSD
 LANG_STRING, XML_LITERAL = f"{RDF}langString", f"{RDF}XMLLiteral"
 STRING, INTEGER, INT = f"{XSD}string", f"{XSD}integer", f"{XSD}int"
 # canonical N-Triples literal: lexical form, language, datatype
-CANONICAL = r'(?s)\A"((?:[^"\\]|\\.)*)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?\z'
+CANONICAL = r'(?s)\A"(.*)"(?:@([A-Za-z0-9-]+)|\^\^<([^>"]*)>)?\z'
 
 
 def literal_parts(term: Column) -> tuple[Column, Column, Column]:

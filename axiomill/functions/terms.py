@@ -9,8 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANKS = " \t\r\n"
-# lexical form, then language or datatype; the only escapes are \" and \\
-LITERAL = r'(?s)\A"((?:[^"\\]|\\.)*)"(?:@([A-Za-z0-9-]+)|\^\^(\S+))?\z'
+# lexical form, then language or datatype; no quote can follow the closing one. Greedy dots run in a loop where an
+# alternation under a star would recurse, and overflow the stack of a long text
+LITERAL = r'(?s)\A"(.*)"(?:@([A-Za-z0-9-]+)|\^\^([^\s"]+))?\z'
+ESCAPE = r"(?s)\\."
 
 
 def _c(c: Column | str) -> Column:
@@ -34,9 +36,10 @@ def is_literal(t: Column | str) -> Column:
 
 
 def lexical(t: Column | str) -> Column:
-    """Escaped lexical form of a literal, null for anything else."""
-    m = F.regexp_extract(_c(t), LITERAL, 1)
-    return F.when(_c(t).rlike(LITERAL), m)
+    """Escaped lexical form of a literal, null for anything else, such as one with a bare quote inside."""
+    lex = F.regexp_extract(_c(t), LITERAL, 1)
+    bare = F.regexp_replace(lex, ESCAPE, "")
+    return F.when(_c(t).rlike(LITERAL) & ~bare.contains('"') & ~bare.contains("\\"), lex)
 
 
 def unescaped(lex: Column | str) -> Column:

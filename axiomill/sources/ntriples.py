@@ -8,13 +8,14 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from axiomill.vocab import XSD
 
-IRI = r"<[^<>\"{}|^`\\\x00-\x20]*(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|[^<>\"{}|^`\\\x00-\x20])*>"
+IRI = r"<[^<>\"{}|^`\x00-\x20]*>"
 BNODE = r"_:[\p{L}\p{N}_][\p{L}\p{N}_.·-]*"
-LITERAL = rf'"(?:[^"\\\n\r]|\\.)*"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^{IRI})?'
+# a greedy dot up to the last quote: an alternation under a star would recurse once a character
+LITERAL = rf'".*"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^{IRI})?'
 LINE = rf"\A\s*({IRI}|{BNODE})\s*({IRI})\s*({IRI}|{BNODE}|{LITERAL})\s*\.\s*(?:#.*)?\z"
 ESCAPE = re.compile(r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|[tbnrf\"'\\])")
 PLAIN = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
@@ -54,6 +55,14 @@ def canonical_udf(term: pd.Series) -> pd.Series:
     return term.map(_canonical)
 
 
+TRIPLE = re.compile(rf'''\s*({IRI}|_:[^\s<"]+)\s*({IRI})\s*({IRI}|_:[^\s<"]*[^\s<".]|"(?:[^"\\]|\\.)*"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^{IRI})?)\s*\.\s*(?:#.*)?''')
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def reparsed_udf(line: pd.Series) -> pd.Series:
+    return line.map(lambda x: None if x is None or not (m := TRIPLE.fullmatch(x)) else list(m.groups()))
+
+
 def file_scope(path: str) -> str:
     """A prefix that keeps the blank nodes of a file apart from others, the same at every load of it."""
     return hashlib.sha256(path.encode()).hexdigest()[:12]
@@ -69,6 +78,11 @@ def read_ntriples(spark: SparkSession, path: str, scope: bool = True, strict: bo
     lines = spark.read.text(path).select("value", F.input_file_name().alias("file")).where(r"value not rlike '\\A\\s*(#.*)?\\z'")
     got = [F.regexp_extract("value", LINE, k) for k in (1, 2, 3)]
     ok = lines.select("value", "file", *[g.alias(n) for g, n in zip(got, "spo")])
+    # a quote inside the literal: it is no triple, or its comment has quotes too, which only a parser can tell
+    bare = F.regexp_replace(F.regexp_extract("o", r'\A"(.*)"', 1), r"\\.", "")
+    odd = bare.contains('"') | bare.contains("\\")
+    part = F.when(odd, reparsed_udf("value"))
+    ok = ok.withColumn("again", part).withColumns({n: F.when(odd, F.coalesce(F.col("again")[k], F.lit(""))).otherwise(F.col(n)) for k, n in enumerate("spo")})
     if strict:
         fail = F.raise_error(F.concat(F.lit("not an N-Triples line: "), F.col("value")))
         ok = ok.withColumn("p", F.when(F.col("p") == "", fail).otherwise(F.col("p")))
