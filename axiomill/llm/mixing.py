@@ -108,7 +108,7 @@ def landing(pi: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         # a probability moved to 0 or 1 is settled, the other keeps the sum
     for k in np.flatnonzero((pi > EPS) & (pi < 1 - EPS)):
         pi[k] = float(rng.random() < pi[k])
-    return pi
+    return np.round(pi)
 
 
 def _fly(seed: int, last: bool):

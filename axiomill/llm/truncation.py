@@ -12,7 +12,7 @@ source as well, as one source may end its texts where others never do.
 
 A cut at a field limit may leave a whole sentence, which no trigram betrays. So the
 lengths of a source are counted too, in characters and in bytes: a length that far
-more families have than its neighbours do is a limit of that source.
+more families have than its neighbours do, above it above all, is a limit of that source.
 """
 
 from __future__ import annotations
@@ -117,12 +117,13 @@ with n as (
   group by src, unit, l),
 m as (
   select src, unit, l, f, sum(f) over (partition by src, unit) as total,
+    coalesce(sum(f) over (partition by src, unit order by l range between 1 following and 3 following), 0) as above,
     (coalesce(sum(f) over (partition by src, unit order by l range between 20 preceding and 4 preceding), 0)
      + coalesce(sum(f) over (partition by src, unit order by l range between 4 following and 20 following), 0)) / 34.0 as mean
   from n),
 s as (
   select src, unit, l, f, max(f) over (partition by src) as highest
-  from m where f >= 5 and f >= {LEAST_SHARE} * total and f >= {SPIKE} * greatest(mean, 0.25))
+  from m where f >= 5 and f >= {LEAST_SHARE} * total and f >= 4 * above and f >= {SPIKE} * greatest(mean, 0.25))
 select src, unit, l from s where f >= {OF_HIGHEST} * highest
 """
 
