@@ -54,7 +54,7 @@ def heavy_keys(df: DataFrame, key: str, share: float = 0.01) -> dict[str, float]
     return {r["key"]: r["n"] / total for r in merged if r["key"] is not None and r["n"] >= total * share / 2}
 
 
-def count_per_key(df: DataFrame, key: str, entity: str, value: str, share: float = 0.01, buckets: int | None = None) -> DataFrame:
+def count_per_key(df: DataFrame, key: str, entity: str, value: str, share: float | None = None, buckets: int | None = None) -> DataFrame:
     """(key, n_rows, n_entities, n_pairs): rows, distinct entities, distinct (entity, value) of each key.
 
     A row with a null key, entity or value is absent. The bucket of a heavy key's row
@@ -64,7 +64,8 @@ def count_per_key(df: DataFrame, key: str, entity: str, value: str, share: float
     rows = named.where("k is not null and e is not null and v is not null")
     spark = df.sparkSession
     parts = buckets or max(2, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    heavy = heavy_keys(named, "k", share)
+    # a key is heavy where it would fill half of a partition: at most 4 keys a partition are listed
+    heavy = heavy_keys(named, "k", share or min(0.01, 1 / (2 * parts)))
     listed = spark.createDataFrame([(k,) for k in heavy], "hk string")
     hot = rows.join(F.broadcast(listed), F.col("k") == F.col("hk"), "left_semi")
     cold = rows.join(F.broadcast(listed), F.col("k") == F.col("hk"), "left_anti")
