@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axiomill.functions.terms import is_literal, lexical, same_term, unescaped
+from axiomill.operators.bitset import bits_of, may_be_in
 from axiomill.workspace import Workspace
 
 GRAM, WINDOW = 4, 6  # characters of a gram; grams of a window: any shared run of 9 characters shares a fingerprint
@@ -299,24 +300,26 @@ class HistoryStore:
         prints = self._save(fingerprints(forms), "prints")
         maybe = self._save(self.screen(self._all_prints(prints, forms)), "maybe")
 
-        # word for word: only forms that passed the filters are looked up
+        # word for word: only forms that passed the filters are looked up, and of history only what may match is exchanged
+        positive = self._save(bits_of(maybe), "positive")
         history = self.ws.read("forms", FORMS)
         asked = forms.join(maybe.select(F.col("fp").alias("kfp")), F.xxhash64("key") == F.col("kfp"), "left_semi").select("key")
-        exact = history.join(asked, "key", "left_semi").select("key", F.col("first_id").alias("old_first"))
+        exact = history.where(may_be_in(F.xxhash64("key"), positive)).join(asked, "key", "left_semi").select("key", F.col("first_id").alias("old_first"))
         forms = self._save(forms.join(exact, "key", "left"), "known")
         fresh = forms.where("old_first is null")
 
         # nearly: fingerprints of fresh forms against the store, and among themselves
         mine = prints.join(fresh.select("fid"), "fid", "left_semi")
         mine = self._save(mine.select("fp", F.col("fid").alias("nid"), F.col("total").alias("ntotal")), "fresh_prints")
-        stored = self.ws.read("prints", PRINTS).select("fp", F.col("fid").alias("oid"), F.col("total").alias("ototal"))
+        stored = self.ws.read("prints", PRINTS).where(may_be_in(F.col("fp"), positive)).select("fp", F.col("fid").alias("oid"), F.col("total").alias("ototal"))
         of_store = mine.join(maybe, "fp", "left_semi").join(stored, "fp").select("nid", "oid", "ntotal", "ototal")
         twin = mine.select("fp", F.col("nid").alias("oid"), F.col("ntotal").alias("ototal"))
         of_batch = mine.join(twin, "fp").where("oid < nid").select("nid", "oid", "ntotal", "ototal")
         shared = of_store.unionByName(of_batch).groupBy("nid", "oid").agg(F.count("*").alias("n"), F.first("ntotal").alias("nt"), F.first("ototal").alias("ot"))
         pairs = self._save(shared.where(F.col("n") >= F.least("nt", "ot") * COVERAGE).select("nid", "oid"), "pairs")
         says = fresh.select(F.col("fid").alias("nid"), F.col("words").alias("nw"))
-        words = history.select("fid", "first_id", "words").unionByName(fresh.select("fid", F.col("fid").alias("first_id"), "words"))
+        paired = self._save(bits_of(pairs.select("oid")), "paired")
+        words = history.select("fid", "first_id", "words").where(may_be_in(F.col("fid"), paired)).unionByName(fresh.select("fid", F.col("fid").alias("first_id"), "words"))
         words = words.select(F.col("fid").alias("oid"), "first_id", F.col("words").alias("ow"))
         vocabulary = self.vocabulary
 
@@ -332,13 +335,12 @@ class HistoryStore:
         both = edges.union(edges.select(F.col("to").alias("nid"), F.col("nid").alias("to")))
         for k in range(1, 60):
             known = labels.select(F.col("nid").alias("to"), F.col("first_id").alias("via"))
+            labels = labels.select("nid", "first_id")
             best = both.join(known, "to", "left").groupBy("nid").agg(F.min(F.least(F.coalesce("via", "to"), "to")).alias("b"))
             mine_only = best.join(fresh.select(F.col("fid").alias("nid")), "nid", "left_semi")
-            nxt = mine_only.join(labels, "nid", "left").select("nid", F.least("b", F.coalesce("first_id", "b"), "nid").alias("first_id"))
-            nxt = self._save(nxt, f"label{k}")
-            moved = nxt.join(labels.withColumnRenamed("first_id", "was"), "nid", "left").where("was is null or first_id < was").limit(1).count()
-            labels = nxt
-            if not moved:
+            nxt = mine_only.join(labels, "nid", "left").select("nid", F.least("b", F.coalesce("first_id", "b"), "nid").alias("first_id"), F.col("first_id").alias("was"))
+            labels = self._save(nxt.select("nid", "first_id", (F.col("was").isNull() | (F.col("first_id") < F.col("was"))).alias("moved")), f"label{k}")
+            if labels.where("moved").isEmpty():
                 break
 
         firsts = forms.join(labels.select(F.col("nid").alias("fid"), F.col("first_id").alias("near_first")), "fid", "left")
