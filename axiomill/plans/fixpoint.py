@@ -7,14 +7,17 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from axiomill.operators.components import components
 from axiomill.plans.compile import BROADCAST_ROWS, Counts, count_axioms, variants
 from axiomill.plans.lists import list_members
-from axiomill.plans.rules import IFP_COMPAT, INT1, RULES
-from axiomill.vocab import FIRST, MEMBER, RDF, REST, SEEDS, TYPE, owl, rdf, rdfs
+from axiomill.plans.rules import AXIOM_CLASSES, AXIOM_PREDICATES, CLASH_CLASSES, EQUALITY, IFP_COMPAT, INT1, RULES
+from axiomill.vocab import FIRST, MEMBER, NIL, RDF, REST, SAME, SEEDS, THING, TYPE, owl, rdf, rdfs
 from axiomill.workspace import Workspace
 
 TRIPLE = "s string, p string, o string"
 INTERSECTION = owl("intersectionOf")
+# terms that rules name; one of them always stands for its class of equal terms
+NAMED = (*AXIOM_PREDICATES, *AXIOM_CLASSES, *CLASH_CLASSES, TYPE, THING, FIRST, REST, NIL)
 
 
 def triple_frame(spark, rows: Iterable[tuple[str, str, str]]) -> DataFrame:
@@ -52,53 +55,94 @@ def division(all_: DataFrame, new: DataFrame, members: DataFrame, lists_changed:
 
 
 class Closure:
-    """The closure of what was added so far, as a table that grows by the triples of each round."""
+    """The closure of what was added so far, as a table that grows by the triples of each round.
 
-    def __init__(self, spark, rules: Iterable[str] | None = None, mode: str = "spec", ws: Workspace | None = None, max_rounds: int = 10_000):
+    ``equality`` says how equal terms are held. ``rules`` applies the eq- rules like any
+    other, so a class of n equal terms has n x n pairs and n copies of its facts.
+    ``classes`` keeps one term for each class, found by connected components, rewrites
+    the triples to those terms whenever classes merge, and spells the copies out only
+    in ``output``; ``compact`` gives the triples and classes without the copies.
+    """
+
+    def __init__(self, spark, rules: Iterable[str] | None = None, mode: str = "spec", ws: Workspace | None = None, max_rounds: int = 10_000, equality: str = "rules"):
         self.spark, self.mode, self.max_rounds = spark, mode, max_rounds
         self.ws = ws or Workspace(spark)
         self.names = None if rules is None else frozenset(rules)
         pick = lambda r: self.names is None or r.name in self.names
-        self.rules = [IFP_COMPAT if mode == "compat" and r.name == "prp-ifp" else r for r in RULES if pick(r)]
+        self.by_class = equality == "classes"
+        self.rules = [IFP_COMPAT if mode == "compat" and r.name == "prp-ifp" else r for r in RULES if pick(r) and not (self.by_class and r.name in EQUALITY)]
         self.counts = Counts()
-        self.parts: list[DataFrame] = []
+        self.parts: list[str] = []
+        self.saved = 0
         self.members = triple_frame(spark, [])
+        self.classes: DataFrame | None = None  # (term, rep)
         self.rounds = 0
 
     def uses(self, name: str) -> bool:
         return self.names is None or name in self.names
 
-    def triples(self) -> DataFrame:
-        """Literal subjects included; see ``output``."""
-        out = triple_frame(self.spark, [])
-        for p in self.parts:
-            out = out.unionByName(p)
-        return out
-
     def _read_all(self) -> DataFrame:
-        return self.spark.read.schema(TRIPLE).parquet(*[self.ws.path(f"t{k}") for k in range(len(self.parts))])
+        if not self.parts:
+            return triple_frame(self.spark, [])
+        return self.spark.read.schema(TRIPLE).parquet(*[self.ws.path(p) for p in self.parts])
+
+    compact = _read_all
+
+    def _save(self, df: DataFrame) -> tuple[DataFrame, str]:
+        self.saved += 1
+        name = f"t{self.saved}"
+        return self.ws.save(df.select("s", "p", "o"), name), name
 
     def _append(self, df: DataFrame) -> tuple[DataFrame, Counts]:
-        part = self.ws.save(df.select("s", "p", "o"), f"t{len(self.parts)}")
+        part, name = self._save(df)
         counts = count_axioms(part)
-        self.parts.append(part)
+        self.parts.append(name)
         self.counts = self.counts.add(counts)
         return part, counts
 
+    def _rewrite(self, t: DataFrame) -> DataFrame:
+        if self.classes is None:
+            return t
+        for c in "spo":
+            side = self.classes.where("term <> rep").select(F.col("term").alias("__t"), F.col("rep").alias("__r"))
+            t = t.join(side, t[c] == F.col("__t"), "left").withColumn(c, F.coalesce("__r", c)).select("s", "p", "o")
+        return t.distinct()
+
+    def _merge(self, all_: DataFrame, new: DataFrame, first: bool) -> tuple[DataFrame, Counts]:
+        """Classes after new equalities, all triples rewritten to them; returns what rules have not seen yet."""
+        pairs = all_.where(F.col("p") == SAME).select(F.col("s").alias("a"), F.col("o").alias("b"))
+        if self.classes is not None:
+            pairs = pairs.unionByName(self.classes.select(F.col("term").alias("a"), F.col("rep").alias("b")))
+        found = components(pairs, "a", "b", Workspace(self.spark, self.ws.root))
+        named = found.where(F.col("term").isin(*NAMED)).groupBy("root").agg(F.min("term").alias("named"), F.count("*").alias("n"))
+        if not named.where("n > 1").isEmpty():
+            raise ValueError("two terms that the rules name are stated to be the same; equality by rules can hold that, classes cannot")
+        self.saved += 1
+        rep = found.join(named, "root", "left").select("term", F.coalesce("named", "root").alias("rep"))
+        self.classes = self.ws.save(rep, f"classes{self.saved}")
+        whole, name = self._save(self._rewrite(all_))
+        fresh = whole if first else self._save(self._rewrite(new).unionByName(whole.join(all_, ["s", "p", "o"], "left_anti")).distinct())[0]
+        self.parts = [name]
+        members = self.counts.by.get((MEMBER, None), 0)
+        self.counts = count_axioms(whole)
+        self.counts.by[MEMBER, None] = members
+        return fresh, count_axioms(fresh)
+
     def add(self, base: DataFrame) -> int:
-        """Adds asserted triples and runs the rules to the fixpoint; returns the number of new triples.
+        """Adds asserted triples and runs the rules to the fixpoint; returns the number of triples new to the table.
 
         Rows with a null are absent and repeats count once. The result does not depend on
         how the triples were parted over calls.
         """
         base = base.select("s", "p", "o").dropna().distinct()
-        if not self.parts:
+        first = not self.parts
+        if first:
             seeds = [t for t, n in zip(SEEDS, ("cls-thing", "cls-nothing1")) if self.uses(n)]
             base = base.unionByName(triple_frame(self.spark, seeds)).distinct()
         if self.uses("rdfs12"):
             base = base.unionByName(container_axioms(base)).distinct()
-        fresh = base.join(self._read_all(), ["s", "p", "o"], "left_anti") if self.parts else base
-        first = not self.parts
+        base = self._rewrite(base)
+        fresh = base if first else base.join(self._read_all(), ["s", "p", "o"], "left_anti")
         new, c_new = self._append(fresh)
         added, lists_once = c_new.total, True
         for _ in range(self.max_rounds):
@@ -106,7 +150,11 @@ class Closure:
                 return added
             self.rounds += 1
             all_ = new if first else self._read_all()
-            lists_changed = bool(c_new.by.get((FIRST, None)) or c_new.by.get((REST, None))) and (self.mode == "spec" or lists_once)
+            merged = False
+            if self.by_class and c_new.by.get((SAME, None)) and not new.where((F.col("p") == SAME) & (F.col("s") != F.col("o"))).isEmpty():
+                new, c_new = self._merge(all_, new, first)
+                all_, merged = (new if first else self._read_all()), True
+            lists_changed = bool(c_new.by.get((FIRST, None)) or c_new.by.get((REST, None)) or merged) and (self.mode == "spec" or lists_once)
             new_members = triple_frame(self.spark, [])
             n_before = self.counts.by.get((MEMBER, None), 0)
             if lists_changed and {"cls-int2", "cls-uni", INT1} & (self.names if self.names is not None else {INT1}):
@@ -117,7 +165,7 @@ class Closure:
                 self.counts.by[MEMBER, None] = now.count()
             lists_once = False
             heads = [v for r in self.rules for v in variants(r, all_, new, self.members, new_members, self.counts, c_new)]
-            if self.uses(INT1) and (first or c_new.total):
+            if self.uses(INT1):
                 grown = lists_changed or bool(c_new.by.get((INTERSECTION, None)))
                 d = division(all_, new, self.members, first or grown, self.counts)
                 heads += [d] if d is not None else []
@@ -126,18 +174,28 @@ class Closure:
             out = heads[0]
             for h in heads[1:]:
                 out = out.unionByName(h)
-            new, c_new = self._append(out.distinct().join(all_, ["s", "p", "o"], "left_anti"))
+            new, c_new = self._append(self._rewrite(out.distinct()).join(all_, ["s", "p", "o"], "left_anti"))
             added += c_new.total
             first = False
         raise RuntimeError(f"no fixpoint after {self.max_rounds} rounds")
 
+    def triples(self) -> DataFrame:
+        """All triples, literal subjects included; see ``output``."""
+        t = self._read_all()
+        if self.classes is None:
+            return t
+        of = self.classes.select(F.col("rep").alias("__r"), F.col("term").alias("__t"))
+        for c in "spo":
+            t = t.join(of, t[c] == F.col("__r"), "left").withColumn(c, F.coalesce("__t", c)).select("s", "p", "o")
+        return t.distinct()
+
     def output(self) -> DataFrame:
         """The closure without triples that RDF cannot hold: literal subjects, predicates that are no IRIs."""
         return self.triples().where(~F.col("s").startswith('"') & F.col("p").startswith("<"))
 
 
-def closure(triples: DataFrame, rules: Iterable[str] | None = None, mode: str = "spec") -> DataFrame:
+def closure(triples: DataFrame, rules: Iterable[str] | None = None, mode: str = "spec", equality: str = "rules") -> DataFrame:
     """(s, p, o): the deductive closure, under all rules or a subset of their names."""
-    c = Closure(triples.sparkSession, rules, mode)
+    c = Closure(triples.sparkSession, rules, mode, equality=equality)
     c.add(triples)
     return c.output()

@@ -73,6 +73,7 @@ RULES: tuple[Rule, ...] = (
     _rule("scm-eqc1", "?a eqc ?b => ?a sub ?b"),
     _rule("scm-eqc2", "?a eqc ?b => ?b sub ?a"),
 )
+EQUALITY = frozenset({"eq-sym", "eq-trans", "eq-rep-s", "eq-rep-p", "eq-rep-o"})
 # the inverse-functional rule as deployed engines of this profile have it: any two subjects of the property
 IFP_COMPAT = _rule("prp-ifp", "?p type InverseFunctional, ?x ?p ?o, ?y ?p ?z => ?x same ?y")
 ALL = frozenset(r.name for r in RULES) | {INT1, "rdfs12", "cls-thing", "cls-nothing1"}

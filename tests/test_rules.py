@@ -163,6 +163,28 @@ def test_random_graphs_against_naive(spark, seed):
     assert {tuple(x) for x in c.output().collect()} == expected
 
 
+@pytest.mark.parametrize("seed", range(10, 13))
+def test_equality_by_classes(spark, seed):
+    r = random.Random(seed)
+    names = [u(f"n{k}") for k in range(6)]
+    preds = [u("p"), u("q"), rdfs("subClassOf"), rdfs("domain"), TYPE, SAME, SAME]
+    kinds = [owl("FunctionalProperty"), owl("SymmetricProperty"), *names]
+    rows = [(r.choice([*names, u("p"), u("q")]), p := r.choice(preds), r.choice(kinds if p == TYPE else names)) for _ in range(11)]
+    rows += [(u("p"), TYPE, owl("FunctionalProperty")), (names[0], owl("unionOf"), u("l")), *cells(u("l"), names[1], names[2])]
+    expected = naive(rows)
+    whole, parts = Closure(spark, equality="classes"), Closure(spark, equality="classes")
+    whole.add(triple_frame(spark, rows))
+    assert {tuple(x) for x in whole.output().collect()} == expected
+    parts.add(triple_frame(spark, rows[:6]))
+    parts.add(triple_frame(spark, rows[6:]))
+    assert {tuple(x) for x in parts.output().collect()} == expected
+
+
+def test_named_terms_cannot_be_one_class(spark):
+    with pytest.raises(ValueError, match="rules name"):
+        Closure(spark, equality="classes").add(triple_frame(spark, [(TYPE, SAME, rdfs("subClassOf"))]))
+
+
 def test_diagnostics(spark):
     rows = [
         (P, TYPE, owl("IrreflexiveProperty")), (X, P, X),
