@@ -13,7 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from axiomill.core_queries import nt
 from axiomill.functions import datatypes as DT
+from axiomill.functions.terms import same_term
+from axiomill.operators.components import components
 from axiomill.plans.diagnostics import diagnostics
 from axiomill.plans.fixpoint import Closure, triple_frame
 from axiomill.plans.lists import list_members
@@ -273,6 +276,65 @@ def datatype_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("lex", DT.integer_valid(F.col("lex")).cast("int").alias("is_integer"), DT.int_valid(F.col("lex")).cast("int").alias("is_int"))
 
 
+def eq_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equality held by classes: the same rows as the eq- rules give."""
+    c = Closure(spark, (), equality="classes")
+    c.add(load(spark, sf_dir, union(SAME_DOC, DOC_LANG)))
+    return c.output()
+
+
+def prp_ifp_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverse-functional rule in mode compat: any two subjects of the property."""
+    c = Closure(spark, ("prp-ifp",), mode="compat")
+    c.add(load(spark, sf_dir, union(IN_REGION, axiom("locatedIn", "InverseFunctionalProperty"))))
+    return c.output()
+
+
+def cls_uni_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists in mode compat: all cells that are joined share their members, so every nation of a region counts."""
+    c = Closure(spark, ("cls-uni",), mode="compat")
+    c.add(load(spark, sf_dir, union(LIST_CELLS, COUNTRY_TYPES, UNIONS)))
+    return c.output().where(F.col("p") == TYPE)
+
+
+def cls_uni_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lists in mode spec: a union lists what follows its own cell."""
+    c = Closure(spark, ("cls-uni",))
+    c.add(load(spark, sf_dir, union(LIST_CELLS, COUNTRY_TYPES, UNIONS)))
+    return c.output().where(F.col("p") == TYPE)
+
+
+def range_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Range clashes in mode compat: an IRI lies outside every range."""
+    t = load(spark, sf_dir, union(IN_REGION, rows((u("locatedIn"), rdfs("range"), u("Region")))))
+    return diagnostics(t, {"rdfs-datatype-range"}, "compat").select("rule", "message")
+
+
+def connected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the hierarchy rows of part_links."""
+    links = spark.read.parquet(f"{sf_dir}/part_links.parquet").where(same_term("p").isin("hv:partOf", "rdfs:subClassOf", "hv:hasPart"))
+    return components(links.select(same_term("s").alias("a"), same_term("o").alias("b")), "a", "b")
+
+
+def turtle_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements of the triples table written as N-Triples, which is Turtle, and read by the Turtle reader."""
+    ws = Workspace(spark)
+    t = load(spark, sf_dir, f"select '<urn:row/' || cast(triple_id as string) || '>' as s, '{u('says')}' as p, case when o like '\"%' then {SPELLED} when o like '\\_:%' then o else '<' || o || '>' end as o from {{triples}} where o is not null and o <> ''")
+    write_ntriples(t, ws.path("out.ttl"))
+    return read_triples(spark, ws.path("out.ttl"), scope=False)
+
+
+def value_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which objects of the triples table lie in the value space of xsd:int and xsd:string; null is unknown."""
+    o = load(spark, sf_dir, f"select distinct {SPELLED} as o from {{triples}} where o like '\"%'")
+    dt = DT.literal_parts(F.col("o"))[2]
+    in_ = lambda t: DT.in_space(F.col("o"), dt, F.lit(t)).cast("int")
+    return o.select("o", in_(DT.INT).alias("in_int"), in_(DT.STRING).alias("in_string"), in_("urn:own").alias("in_own"))
+
+
+COUNTRY_TYPES = facts("nation", "'<urn:of/' || cast(n_nationkey as string) || '>'", TYPE, NATION)
+UNIONS = facts("nation", "'<urn:union/' || cast(n_nationkey as string) || '>'", owl("unionOf"), key("cell", "n_nationkey"))
+
 PLUMBING: dict[str, tuple[Callable, str | None]] = {
     "triple_except": (triple_except, "select '<urn:order/' || o_orderkey || '>' as s, '<urn:placedBy>' as p, '<urn:customer/' || o_custkey || '>' as o from orders where o_orderstatus <> 'O'"),
     "base_diff": (base_diff, "select 'superset' as step, false as removed union all select 'same', false union all select 'subset', true"),
@@ -281,6 +343,22 @@ PLUMBING: dict[str, tuple[Callable, str | None]] = {
         f"with b as (select distinct s, p, o from ({duck(PLACED)}) x) select s, p, o from b union select s, '{TYPE}', '{u('Order')}' from b union select o, '{u('placed')}', s from b union select '{u('placedBy')}', '{rdfs('domain')}', '{u('Order')}' union select '{u('placedBy')}', '{owl('inverseOf')}', '{u('placed')}'",
     ),
     "incremental_stream": (incremental_stream, f"with b as (select distinct s, p, o from ({duck(union(EVENT, EVENT_SUB))}) x) select s, p, o from b union select s, p, '{u('Event')}' from b where p = '{TYPE}'"),
+    "eq_classes": (eq_classes, CASES["eq_rep_s"].sql()),
+    "prp_ifp_compat": (prp_ifp_compat, f"with b as (select distinct s, p, o from ({duck(union(IN_REGION, axiom('locatedIn', 'InverseFunctionalProperty')))}) x) select s, p, o from b union select a.s, '{SAME}', c.s from b a, b c where a.p = '{u('locatedIn')}' and c.p = '{u('locatedIn')}'"),
+    "cls_uni_compat": (cls_uni_compat, f"select '<urn:of/' || a.n_nationkey || '>' as s, '{TYPE}' as p, '<urn:nation/' || a.n_nationkey || '>' as o from nation a union select '<urn:of/' || a.n_nationkey || '>', '{TYPE}', '<urn:union/' || c.n_nationkey || '>' from nation a join nation c on a.n_regionkey = c.n_regionkey"),
+    "cls_uni_tails": (cls_uni_tails, f"select '<urn:of/' || a.n_nationkey || '>' as s, '{TYPE}' as p, '<urn:nation/' || a.n_nationkey || '>' as o from nation a union select '<urn:of/' || a.n_nationkey || '>', '{TYPE}', '<urn:union/' || c.n_nationkey || '>' from nation a join nation c on a.n_regionkey = c.n_regionkey and a.n_nationkey >= c.n_nationkey"),
+    "rdfs_datatype_range_compat": (range_compat, "select distinct 'rdfs-datatype-range' as rule, 'range clash: object <urn:region/' || n_regionkey || '> is not in datatype urn:Region for predicate <urn:locatedIn>' as message from nation"),
+    "connected_components": (
+        connected,
+        f"with recursive l as (select {nt('p')} p, {nt('s')} a, {nt('o')} b from part_links), e as (select a, b from l where p in ('hv:partOf', 'rdfs:subClassOf', 'hv:hasPart') and a is not null and b is not null union select b, a from l where p in ('hv:partOf', 'rdfs:subClassOf', 'hv:hasPart') and a is not null and b is not null), r as (select a x, a y from e union select r.x, e.b from r join e on r.y = e.a) select x as term, min(y) as root from r group by x",
+    ),
+    "turtle_round_trip": (turtle_round_trip, f"select distinct '<urn:row/' || triple_id || '>' as s, '{u('says')}' as p, case when o like '%^^xsd:string' then o[1:length(o) - 12] when o like '\"%' then {SPELLED.replace('$1', chr(92) + '1')} when o like '\\_:%' escape '\\' then o else '<' || o || '>' end as o from triples where o is not null and o <> ''"),
+    "value_spaces": (
+        value_spaces,
+        f"""select distinct {SPELLED.replace('$1', chr(92) + '1')} as o,
+        (case when o like '%^^xsd:int' or o like '%^^xsd:integer' then regexp_matches(o, '^"[+-]?[0-9]+"') and coalesce(try_cast(regexp_extract(o, '^"([^"]*)"', 1) as hugeint) between -2147483648 and 2147483647, false) else false end)::int as in_int,
+        (o not like '%^^%' and not regexp_matches(o, '"@[A-Za-z0-9-]+$') or o like '%^^xsd:string')::int as in_string, null::int as in_own from triples where o like '"%'""",
+    ),
     "list_expand": (list_expand, "select '<urn:cell/' || a.n_nationkey || '>' as head, '<urn:nation/' || b.n_nationkey || '>' as member from nation a join nation b on a.n_regionkey = b.n_regionkey and b.n_nationkey >= a.n_nationkey"),
     "class_histogram": (histogram, "select '<urn:kind/' || replace(p_type, ' ', '_') || '>' as class, count(*) as n_instances from part group by 1 union all select c, count(*) from part, (select '<urn:Part>' c union select '<urn:Product>') y group by c"),
     "ntriples_round_trip": (ntriples_round_trip, f"select '<urn:row/' || triple_id || '>' as s, '{u('says')}' as p, case when o like '%^^xsd:string' then o[1:length(o) - 12] else {SPELLED.replace('$1', chr(92) + '1')} end as o from triples where o like '\"%'"),

@@ -32,8 +32,8 @@ class Reasoner:
     over belong to the asserted ones.
     """
 
-    def __init__(self, spark: SparkSession, rules: Iterable[str] | None = None, mode: str = "spec", options: Options | None = None):
-        self.spark, self.rules, self.mode = spark, rules, mode
+    def __init__(self, spark: SparkSession, rules: Iterable[str] | None = None, mode: str = "spec", options: Options | None = None, equality: str = "rules"):
+        self.spark, self.rules, self.mode, self.equality = spark, rules, mode, equality
         self.options = options or Options()
         self.ws = Workspace(spark)
         self.skipped = 0
@@ -122,7 +122,7 @@ class Reasoner:
         """The closure of the asserted triples, extended by what was loaded since the last call."""
         first = self._closure is None
         if first:
-            self._closure = Closure(self.spark, self.rules, self.mode)
+            self._closure = Closure(self.spark, self.rules, self.mode, equality=self.equality)
             self._pending = self._base
         added = self._closure.add(self._pending)
         self._pending = triple_frame(self.spark, [])
@@ -157,7 +157,7 @@ class Reasoner:
         if not self.options.collect_diagnostics or self._closure is None:
             return self.spark.createDataFrame([], D.SCHEMA)
         if self._diagnostics is None:
-            self._diagnostics = D.diagnostics(self._closure.triples(), self.rules, self.mode, self._closure.counts)
+            self._diagnostics = D.diagnostics(self._closure.triples(), self.rules, self.mode, None if self._closure.by_class else self._closure.counts)
         out = self._diagnostics
         if self.options.max_diagnostics is not None:
             out = out.orderBy("code", "message").limit(self.options.max_diagnostics)
