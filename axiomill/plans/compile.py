@@ -108,21 +108,96 @@ def project(df: DataFrame, head: Pattern) -> DataFrame:
     return df.select(*[(F.col(v[1:]) if v.startswith("?") else F.lit(v)).alias(c) for c, v in zip("spo", head)])
 
 
-def variants(rule: Rule, all_: DataFrame, new: DataFrame, members: DataFrame, new_members: DataFrame, c_all: Counts, c_new: Counts) -> list[DataFrame]:
+@dataclass(frozen=True)
+class Relations:
+    """What rules read in a round: all triples and the newest, the same of list members, and their counts."""
+
+    all_: DataFrame
+    new: DataFrame
+    members: DataFrame
+    new_members: DataFrame
+    c_all: Counts
+    c_new: Counts
+
+    @property
+    def everything(self) -> bool:
+        """In the first round all is new: one variant of a rule says it all."""
+        return self.all_ is self.new
+
+    def read(self, body: tuple[Pattern, ...], newest: int | None) -> list[tuple[Pattern, DataFrame, int | None]] | None:
+        """The body's patterns with what they read, pattern ``newest`` the newest; None if one has no rows."""
+        out = []
+        for i, p in enumerate(body):
+            fresh = i == newest and not self.everything
+            n = (self.c_new if fresh else self.c_all).of(p)
+            if n == 0:
+                return None
+            t = (self.new_members if fresh else self.members) if p[1] == MEMBER else (self.new if fresh else self.all_)
+            out.append((p, t, n))
+        return out
+
+
+def variants(rule: Rule, r: Relations) -> list[DataFrame]:
     """The plans of a rule that can give something new."""
+    bodies = [r.read(rule.body, k) for k in range(1 if r.everything else len(rule.body))]
+    return [project(join_body(b), rule.head) for b in bodies if b]
+
+
+# --- rules of one fact ------------------------------------------------------------
+#
+# Many rules read a single fact, by its predicate or by the class of a type, and axioms
+# that say what follows from it. The axioms of all of them make one small table, and
+# one scan of the facts joined to it serves all these rules.
+
+FORWARD, BACKWARD, SUBJECT, OBJECT, CLASS_OF = "forward", "backward", "subject", "object", "class"
+
+
+def shape_of(rule: Rule) -> tuple[str, str, str] | None:
+    """(shape, variable that meets the fact, variable that follows from it), None if the rule is of another kind."""
+    *axioms, (s, p, o) = rule.body
+    bound = {v for a in axioms for v in a if v.startswith("?")}
+    if not axioms or s in bound or not s.startswith("?") or not o.startswith("?"):
+        return None
+    hs, hp, ho = rule.head
+    if p == TYPE:
+        return (CLASS_OF, o, ho) if o in bound and (hs, hp) == (s, TYPE) and ho in bound else None
+    if p not in bound or o in bound or s == o:
+        return None
+    if (hs, ho) == (s, o) and hp in bound:
+        return FORWARD, p, hp
+    if (hs, ho) == (o, s) and hp in bound:
+        return BACKWARD, p, hp
+    if hp == TYPE and ho in bound and hs in (s, o):
+        return SUBJECT if hs == s else OBJECT, p, ho
+    return None
+
+
+def axiom_rows(rules: list[Rule], r: Relations, newest: bool) -> DataFrame | None:
+    """(shape, k, q): what follows from a fact that meets k, from all axioms or from those with something new."""
     out = []
-    everything = all_ is new  # the first round: one variant says it all
-    for k, _ in enumerate(rule.body):
-        parts = []
-        for i, p in enumerate(rule.body):
-            newest = i == k and not everything
-            n = (c_new if newest else c_all).of(p)
-            if n == 0:
-                break
-            t = (new_members if newest else members) if p[1] == MEMBER else (new if newest else all_)
-            parts.append((p, t, n))
-        else:
-            out.append(project(join_body(parts), rule.head))
-        if everything:
-            break
-    return out
+    for rule in rules:
+        shape, k, q = shape_of(rule)
+        axioms = rule.body[:-1]
+        bodies = [r.read(axioms, i) for i in range(len(axioms))] if newest and not r.everything else [r.read(axioms, None)]
+        out += [join_body(b).select(F.lit(shape).alias("shape"), F.col(k[1:]).alias("k"), F.col(q[1:]).alias("q")) for b in bodies if b]
+    if not out:
+        return None
+    rows = out[0]
+    for o in out[1:]:
+        rows = rows.unionByName(o)
+    return rows.distinct()
+
+
+def follow(facts: DataFrame, axioms: DataFrame, small: bool) -> list[DataFrame]:
+    """What the axioms say of the facts: one scan by predicate, one of the types by class."""
+    send = F.broadcast if small else lambda df: df
+    by_p, by_c = axioms.where(F.col("shape") != CLASS_OF), axioms.where(F.col("shape") == CLASS_OF)
+    j = facts.join(send(by_p), F.col("p") == F.col("k"))
+    shape = F.col("shape")
+    said = j.select(
+        F.when(shape.isin(BACKWARD, OBJECT), F.col("o")).otherwise(F.col("s")).alias("s"),
+        F.when(shape.isin(FORWARD, BACKWARD), F.col("q")).otherwise(F.lit(TYPE)).alias("p"),
+        F.when(shape == FORWARD, F.col("o")).when(shape == BACKWARD, F.col("s")).otherwise(F.col("q")).alias("o"),
+    )
+    types = facts.where(F.col("p") == TYPE).join(send(by_c), F.col("o") == F.col("k"))
+    return [said, types.select("s", F.lit(TYPE).alias("p"), F.col("q").alias("o"))]

@@ -7,8 +7,9 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from axiomill.operators.bitset import bits_of, may_be_in
 from axiomill.operators.components import components
-from axiomill.plans.compile import BROADCAST_ROWS, Counts, count_axioms, variants
+from axiomill.plans.compile import BROADCAST_ROWS, Counts, Relations, axiom_rows, count_axioms, follow, shape_of, variants
 from axiomill.plans.lists import list_members
 from axiomill.plans.rules import AXIOM_CLASSES, AXIOM_PREDICATES, CLASH_CLASSES, EQUALITY, IFP_COMPAT, INT1, RULES
 from axiomill.vocab import FIRST, MEMBER, NIL, RDF, REST, SAME, SEEDS, THING, TYPE, owl, rdf, rdfs
@@ -16,6 +17,7 @@ from axiomill.workspace import Workspace
 
 TRIPLE = "s string, p string, o string"
 INTERSECTION = owl("intersectionOf")
+FILTER_ROWS = 2_000_000  # a closure beyond this is filtered before it is joined with what was found
 # terms that rules name; one of them always stands for its class of equal terms
 NAMED = (*AXIOM_PREDICATES, *AXIOM_CLASSES, *CLASH_CLASSES, TYPE, THING, FIRST, REST, NIL)
 
@@ -64,13 +66,17 @@ class Closure:
     in ``output``; ``compact`` gives the triples and classes without the copies.
     """
 
-    def __init__(self, spark, rules: Iterable[str] | None = None, mode: str = "spec", ws: Workspace | None = None, max_rounds: int = 10_000, equality: str = "rules"):
+    def __init__(self, spark, rules: Iterable[str] | None = None, mode: str = "spec", ws: Workspace | None = None, max_rounds: int = 10_000, equality: str = "rules", filter_rows: int = FILTER_ROWS):
+        self.filter_rows = filter_rows
         self.spark, self.mode, self.max_rounds = spark, mode, max_rounds
         self.ws = ws or Workspace(spark)
         self.names = None if rules is None else frozenset(rules)
         pick = lambda r: self.names is None or r.name in self.names
         self.by_class = equality == "classes"
         self.rules = [IFP_COMPAT if mode == "compat" and r.name == "prp-ifp" else r for r in RULES if pick(r) and not (self.by_class and r.name in EQUALITY)]
+        self.of_one_fact = [r for r in self.rules if shape_of(r)]
+        self.of_more = [r for r in self.rules if not shape_of(r)]
+        self.axioms: DataFrame | None = None  # see compile.axiom_rows
         self.counts = Counts()
         self.parts: list[str] = []
         self.saved = 0
@@ -128,6 +134,37 @@ class Closure:
         self.counts.by[MEMBER, None] = members
         return fresh, count_axioms(fresh)
 
+    def _unknown(self, found: DataFrame, all_: DataFrame) -> DataFrame:
+        """What was found and is not known yet. From a large closure only rows that may match are exchanged."""
+        if self.counts.total > self.filter_rows:
+            found = self._save(found)[0]
+            mark = lambda: F.xxhash64("s", "p", "o")
+            bits = self.ws.save(bits_of(found.select(mark())), f"bits{self.saved}")
+            all_ = all_.where(may_be_in(mark(), bits))
+        return found.join(all_, ["s", "p", "o"], "left_anti")
+
+    def _one_fact(self, rel: Relations, anew: bool) -> list[DataFrame]:
+        """What rules of one fact give: new facts by all axioms, all facts by new axioms."""
+        found = axiom_rows(self.of_one_fact, rel, newest=not anew)
+        fresh = None
+        if found is not None:
+            self.saved += 1
+            fresh = self.ws.save(found, f"axioms{self.saved}")
+            if self.axioms is None or anew:
+                self.axioms = fresh
+            else:
+                fresh = self.ws.save(fresh.join(self.axioms, ["shape", "k", "q"], "left_anti"), f"axioms{self.saved}n")
+                self.axioms = self.ws.save(self.axioms.unionByName(fresh), f"axioms{self.saved}a")
+        elif anew:
+            self.axioms = None
+        if self.axioms is None:
+            return []
+        small = self.axioms.count() <= BROADCAST_ROWS
+        heads = follow(rel.new, self.axioms, small)
+        if fresh is not None and not rel.everything and not fresh.isEmpty():
+            heads += follow(rel.all_, fresh, small)
+        return heads
+
     def add(self, base: DataFrame) -> int:
         """Adds asserted triples and runs the rules to the fixpoint; returns the number of triples new to the table.
 
@@ -142,7 +179,7 @@ class Closure:
         if self.uses("rdfs12"):
             base = base.unionByName(container_axioms(base)).distinct()
         base = self._rewrite(base)
-        fresh = base if first else base.join(self._read_all(), ["s", "p", "o"], "left_anti")
+        fresh = base if first else self._unknown(base, self._read_all())
         new, c_new = self._append(fresh)
         added, lists_once = c_new.total, True
         for _ in range(self.max_rounds):
@@ -164,7 +201,8 @@ class Closure:
                 self.members = now
                 self.counts.by[MEMBER, None] = now.count()
             lists_once = False
-            heads = [v for r in self.rules for v in variants(r, all_, new, self.members, new_members, self.counts, c_new)]
+            rel = Relations(all_, new, self.members, new_members, self.counts, c_new)
+            heads = [v for r in self.of_more for v in variants(r, rel)] + self._one_fact(rel, merged)
             if self.uses(INT1):
                 grown = lists_changed or bool(c_new.by.get((INTERSECTION, None)))
                 d = division(all_, new, self.members, first or grown, self.counts)
@@ -174,7 +212,7 @@ class Closure:
             out = heads[0]
             for h in heads[1:]:
                 out = out.unionByName(h)
-            new, c_new = self._append(self._rewrite(out.distinct()).join(all_, ["s", "p", "o"], "left_anti"))
+            new, c_new = self._append(self._unknown(self._rewrite(out.distinct()), all_))
             added += c_new.total
             first = False
         raise RuntimeError(f"no fixpoint after {self.max_rounds} rounds")
