@@ -42,8 +42,8 @@ WIDE = [
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "triples")
-    lex = lexical(same_term("o"))
-    return P.widen(t.select(same_term("s").alias("s"), same_term("p").alias("p"), lex.alias("lex"), F.col("asserted_at").alias("at")), WIDE)
+    t = t.select(same_term("s").alias("s"), same_term("p").alias("p"), same_term("o").alias("o"), F.col("asserted_at").alias("at"))
+    return P.widen(t.select("s", "p", lexical("o").alias("lex"), "at"), WIDE)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

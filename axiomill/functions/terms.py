@@ -5,13 +5,15 @@ All functions are plain column expressions, so they stay inside generated code.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANKS = " \t\r\n"
-# lexical form, then language or datatype; no quote can follow the closing one. Greedy dots run in a loop where an
-# alternation under a star would recurse, and overflow the stack of a long text
-LITERAL = r'(?s)\A"(.*)"(?:@([A-Za-z0-9-]+)|\^\^([^\s"]+))?\z'
+# a literal in its quotes, then language or datatype; no quote can follow the closing one. The greedy dot runs in a loop
+# where an alternation under a star would recurse once a character, and overflow the stack of a long text
+QUOTED = r'(?s)\A(".*")(?:@[A-Za-z0-9-]+|\^\^[^\s"]+)?\z'
 ESCAPE = r"(?s)\\."
 
 
@@ -35,11 +37,21 @@ def is_literal(t: Column | str) -> Column:
     return _c(t).startswith('"')
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lexical(t: Column | str) -> Column:
     """Escaped lexical form of a literal, null for anything else, such as one with a bare quote inside."""
-    lex = F.regexp_extract(_c(t), LITERAL, 1)
-    bare = F.regexp_replace(lex, ESCAPE, "")
-    return F.when(_c(t).rlike(LITERAL) & ~bare.contains('"') & ~bare.contains("\\"), lex)
+    t = _c(t)
+
+    def inner(q: Column) -> Column:
+        lex = F.substring(q, F.lit(2), F.length(q) - 2)
+        rest = F.when(lex.contains("\\"), F.regexp_replace(lex, ESCAPE, "")).otherwise(lex)
+        return F.when((q != "") & ~rest.contains('"') & ~rest.contains("\\"), lex)
+
+    return F.when(t.startswith('"'), let(F.regexp_extract(t, QUOTED, 1), inner))
 
 
 def unescaped(lex: Column | str) -> Column:
