@@ -43,7 +43,7 @@ def as_thousandths(lex: Column) -> Column:
     power = F.coalesce(F.nullif(F.regexp_extract(lex, r"[eE](.*)\z", 1), F.lit("")).try_cast("int"), F.lit(0))
     # powers of ten as exact decimals; a shift of more than 18 digits leaves bigint or vanishes
     shift = power + 3
-    up = mantissa.cast("decimal(32,12)") * F.concat(F.lit("1"), F.repeat(F.lit("0"), F.greatest(shift, F.lit(0)))).try_cast("decimal(19,0)")
+    up = F.try_multiply(mantissa, F.concat(F.lit("1"), F.repeat(F.lit("0"), F.greatest(shift, F.lit(0)))).try_cast("decimal(19,0)"))
     down = (mantissa / F.concat(F.lit("1"), F.repeat(F.lit("0"), F.greatest(-shift, F.lit(0)))).try_cast("decimal(19,0)"))
     exact = F.when(shift >= 0, F.round(up, 0).try_cast("bigint")).when(shift < -18, F.lit(0).cast("bigint")).otherwise(F.round(down, 0).try_cast("bigint"))
     return F.when(number & (mantissa == 0), F.lit(0).cast("bigint")).when(number, exact)

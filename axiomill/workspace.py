@@ -46,9 +46,13 @@ class Workspace:
     def read(self, name: str, schema) -> DataFrame:
         return self.spark.read.schema(schema).parquet(self.path(name))
 
+    def close(self) -> None:
+        """Deletes all tables of the run; results that read them must have been written by then."""
+        self.drop("")
+
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
+            p = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
             p.getFileSystem(conf).delete(p, True)
