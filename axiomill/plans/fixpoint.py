@@ -56,6 +56,32 @@ def division(all_: DataFrame, new: DataFrame, members: DataFrame, lists_changed:
     return full.select(F.col("x").alias("s"), F.lit(TYPE).alias("p"), F.col("c").alias("o"))
 
 
+FUNCTIONAL = {"prp-fp": (owl("FunctionalProperty"), "s", "o"), "prp-ifp": (owl("InverseFunctionalProperty"), "o", "s")}
+
+
+def functional_links(rule: str, rel: Relations, mode: str) -> DataFrame | None:
+    """prp-fp and prp-ifp where classes hold equality: each value is linked to the least of its group.
+
+    That is one row a value, where the rule gives a row for every two; the class is the
+    same. Only groups with something new are looked at, unless a property is.
+    """
+    kind, key, value = FUNCTIONAL[rule]
+    n = rel.c_all.by.get((TYPE, kind), 0)
+    if not n:
+        return None
+    props = lambda t: t.where((F.col("p") == TYPE) & (F.col("o") == kind)).select(F.col("s").alias("prop")).distinct()
+    send = F.broadcast if n <= BROADCAST_ROWS else lambda df: df
+    keys = ["p"] if mode == "compat" and rule == "prp-ifp" else ["p", key]
+    facts = rel.all_.join(send(props(rel.all_)), F.col("p") == F.col("prop"), "left_semi")
+    if not rel.everything:
+        touched = rel.new.select(*keys).distinct()
+        if rel.c_new.by.get((TYPE, kind)):
+            touched = touched.unionByName(facts.join(send(props(rel.new)), F.col("p") == F.col("prop"), "left_semi").select(*keys)).distinct()
+        facts = facts.join(touched, keys, "left_semi")
+    least = facts.groupBy(*keys).agg(F.min(value).alias("least"))
+    return facts.join(least, keys).select(F.col("least").alias("s"), F.lit(SAME).alias("p"), F.col(value).alias("o"))
+
+
 class Closure:
     """The closure of what was added so far, as a table that grows by the triples of each round.
 
@@ -75,7 +101,7 @@ class Closure:
         self.by_class = equality == "classes"
         self.rules = [IFP_COMPAT if mode == "compat" and r.name == "prp-ifp" else r for r in RULES if pick(r) and not (self.by_class and r.name in EQUALITY)]
         self.of_one_fact = [r for r in self.rules if shape_of(r)]
-        self.of_more = [r for r in self.rules if not shape_of(r)]
+        self.of_more = [r for r in self.rules if not shape_of(r) and not (self.by_class and r.name in FUNCTIONAL)]
         self.axioms: DataFrame | None = None  # see compile.axiom_rows
         self.counts = Counts()
         self.parts: list[str] = []
@@ -203,6 +229,9 @@ class Closure:
             lists_once = False
             rel = Relations(all_, new, self.members, new_members, self.counts, c_new)
             heads = [v for r in self.of_more for v in variants(r, rel)] + self._one_fact(rel, merged)
+            if self.by_class:
+                links = [functional_links(n, rel, self.mode) for n in FUNCTIONAL if self.uses(n)]
+                heads += [x for x in links if x is not None]
             if self.uses(INT1):
                 grown = lists_changed or bool(c_new.by.get((INTERSECTION, None)))
                 d = division(all_, new, self.members, first or grown, self.counts)

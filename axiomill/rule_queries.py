@@ -283,6 +283,13 @@ def eq_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.output()
 
 
+def prp_fp_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functional rule with equality held by classes: one link a value, the same pairs in the output."""
+    c = Closure(spark, ("prp-fp",), equality="classes")
+    c.add(load(spark, sf_dir, CASES["prp_fp"].base))
+    return c.output()
+
+
 def prp_ifp_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inverse-functional rule in mode compat: any two subjects of the property."""
     c = Closure(spark, ("prp-ifp",), mode="compat")
@@ -344,6 +351,7 @@ PLUMBING: dict[str, tuple[Callable, str | None]] = {
     ),
     "incremental_stream": (incremental_stream, f"with b as (select distinct s, p, o from ({duck(union(EVENT, EVENT_SUB))}) x) select s, p, o from b union select s, p, '{u('Event')}' from b where p = '{TYPE}'"),
     "eq_classes": (eq_classes, CASES["eq_rep_s"].sql()),
+    "prp_fp_classes": (prp_fp_classes, CASES["prp_fp"].sql()),
     "prp_ifp_compat": (prp_ifp_compat, f"with b as (select distinct s, p, o from ({duck(union(IN_REGION, axiom('locatedIn', 'InverseFunctionalProperty')))}) x) select s, p, o from b union select a.s, '{SAME}', c.s from b a, b c where a.p = '{u('locatedIn')}' and c.p = '{u('locatedIn')}'"),
     "cls_uni_compat": (cls_uni_compat, f"select '<urn:of/' || a.n_nationkey || '>' as s, '{TYPE}' as p, '<urn:nation/' || a.n_nationkey || '>' as o from nation a union select '<urn:of/' || a.n_nationkey || '>', '{TYPE}', '<urn:union/' || c.n_nationkey || '>' from nation a join nation c on a.n_regionkey = c.n_regionkey"),
     "cls_uni_tails": (cls_uni_tails, f"select '<urn:of/' || a.n_nationkey || '>' as s, '{TYPE}' as p, '<urn:nation/' || a.n_nationkey || '>' as o from nation a union select '<urn:of/' || a.n_nationkey || '>', '{TYPE}', '<urn:union/' || c.n_nationkey || '>' from nation a join nation c on a.n_regionkey = c.n_regionkey and a.n_nationkey >= c.n_nationkey"),

@@ -168,9 +168,9 @@ def test_equality_by_classes(spark, seed):
     r = random.Random(seed)
     names = [u(f"n{k}") for k in range(6)]
     preds = [u("p"), u("q"), rdfs("subClassOf"), rdfs("domain"), TYPE, SAME, SAME]
-    kinds = [owl("FunctionalProperty"), owl("SymmetricProperty"), *names]
+    kinds = [owl("FunctionalProperty"), owl("InverseFunctionalProperty"), owl("SymmetricProperty"), *names]
     rows = [(r.choice([*names, u("p"), u("q")]), p := r.choice(preds), r.choice(kinds if p == TYPE else names)) for _ in range(11)]
-    rows += [(u("p"), TYPE, owl("FunctionalProperty")), (names[0], owl("unionOf"), u("l")), *cells(u("l"), names[1], names[2])]
+    rows += [(u("p"), TYPE, owl("FunctionalProperty")), (u("q"), TYPE, owl("InverseFunctionalProperty")), (names[0], owl("unionOf"), u("l")), *cells(u("l"), names[1], names[2])]
     expected = naive(rows)
     whole, parts = Closure(spark, equality="classes"), Closure(spark, equality="classes")
     whole.add(triple_frame(spark, rows))
