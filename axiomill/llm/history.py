@@ -64,9 +64,9 @@ def canonical(df: DataFrame, id: str, s: str, p: str, o: str, batch: Column) ->
     A row with a missing s, p or o is absent. A literal counts by its text alone; any
     other o must be the same term. Texts without a word all say the same: nothing.
     """
-    o = same_term(o)
-    said = F.when(is_literal(o), F.coalesce(unescaped(lexical(o)), o)).otherwise(o)
-    rows = df.select(F.col(id).alias("id"), batch.cast("int").alias("batch"), F.lower(same_term(s)).alias("entity"), same_term(p).alias("p"), said.alias("said"), is_literal(o).alias("is_text"))
+    rows = df.select(F.col(id).alias("id"), batch.cast("int").alias("batch"), F.lower(same_term(s)).alias("entity"), same_term(p).alias("p"), same_term(o).alias("o"))
+    said = F.when(is_literal("o"), F.coalesce(unescaped(lexical("o")), F.col("o"))).otherwise(F.col("o"))
+    rows = rows.select("id", "batch", "entity", "p", said.alias("said"), is_literal("o").alias("is_text"))
     rows = rows.where("id is not null and batch is not null and entity is not null and p is not null and said is not null")
     rows = rows.mapInPandas(_canon, "id bigint, batch int, entity string, p string, text string, words string, nums string")
     part = F.concat_ws("\u0001", "entity", "p")
