@@ -227,6 +227,7 @@ def same_saying(a: str, b: str, known: frozenset[str] | set[str]) -> bool:
 
 # --- the store ----------------------------------------------------------------
 
+FILTER_ROWS = 2_000_000  # a history of more fingerprints is filtered before it is joined with a batch
 FORMS = "key string, fid bigint, first_id bigint, words string"
 PRINTS = "fp bigint, fid bigint, total int"
 
@@ -239,6 +240,7 @@ class HistoryStore:
     buckets: int
     bits: int
     vocabulary: frozenset[str]
+    total: int = 0  # fingerprints in the store
     version: int = 0
     steps: int = 0
 
@@ -272,7 +274,7 @@ class HistoryStore:
         forms.select("key", "fid", F.col("fid").alias("first_id"), "words").write.parquet(ws.path("forms"))
         total = ws.read("prints", PRINTS).count() + n
         buckets = max(16, -(-total * 2 * bits_per_print // bucket_bits))
-        store = cls(ws, buckets, bucket_bits, vocabulary)
+        store = cls(ws, buckets, bucket_bits, vocabulary, total - n)
         store._learn(None, store._all_prints(ws.read("prints", PRINTS), forms))
         ws.drop("build")
         return store
@@ -289,6 +291,14 @@ class HistoryStore:
         self.ws.save(out, f"bloom{self.version + 1}")
         self.version += 1
 
+    def _bits(self, keys: DataFrame, name: str) -> DataFrame | None:
+        return self._save(bits_of(keys), name) if self.total > FILTER_ROWS else None
+
+    @staticmethod
+    def _listed(history: DataFrame, key: Column, bits: DataFrame | None) -> DataFrame:
+        """Rows of history that may be asked for; all of a small one, as an exact join follows."""
+        return history if bits is None else history.where(may_be_in(key, bits))
+
     def screen(self, fps: DataFrame) -> DataFrame:
         """Of distinct (fp), those that history may hold."""
         asked = fps.withColumn("bucket", self._bucket())
@@ -301,25 +311,25 @@ class HistoryStore:
         maybe = self._save(self.screen(self._all_prints(prints, forms)), "maybe")
 
         # word for word: only forms that passed the filters are looked up, and of history only what may match is exchanged
-        positive = self._save(bits_of(maybe), "positive")
+        positive = self._bits(maybe, "positive")
         history = self.ws.read("forms", FORMS)
         asked = forms.join(maybe.select(F.col("fp").alias("kfp")), F.xxhash64("key") == F.col("kfp"), "left_semi").select("key")
-        exact = history.where(may_be_in(F.xxhash64("key"), positive)).join(asked, "key", "left_semi").select("key", F.col("first_id").alias("old_first"))
+        exact = self._listed(history, F.xxhash64("key"), positive).join(asked, "key", "left_semi").select("key", F.col("first_id").alias("old_first"))
         forms = self._save(forms.join(exact, "key", "left"), "known")
         fresh = forms.where("old_first is null")
 
         # nearly: fingerprints of fresh forms against the store, and among themselves
         mine = prints.join(fresh.select("fid"), "fid", "left_semi")
         mine = self._save(mine.select("fp", F.col("fid").alias("nid"), F.col("total").alias("ntotal")), "fresh_prints")
-        stored = self.ws.read("prints", PRINTS).where(may_be_in(F.col("fp"), positive)).select("fp", F.col("fid").alias("oid"), F.col("total").alias("ototal"))
+        stored = self._listed(self.ws.read("prints", PRINTS), F.col("fp"), positive).select("fp", F.col("fid").alias("oid"), F.col("total").alias("ototal"))
         of_store = mine.join(maybe, "fp", "left_semi").join(stored, "fp").select("nid", "oid", "ntotal", "ototal")
         twin = mine.select("fp", F.col("nid").alias("oid"), F.col("ntotal").alias("ototal"))
         of_batch = mine.join(twin, "fp").where("oid < nid").select("nid", "oid", "ntotal", "ototal")
         shared = of_store.unionByName(of_batch).groupBy("nid", "oid").agg(F.count("*").alias("n"), F.first("ntotal").alias("nt"), F.first("ototal").alias("ot"))
         pairs = self._save(shared.where(F.col("n") >= F.least("nt", "ot") * COVERAGE).select("nid", "oid"), "pairs")
         says = fresh.select(F.col("fid").alias("nid"), F.col("words").alias("nw"))
-        paired = self._save(bits_of(pairs.select("oid")), "paired")
-        words = history.select("fid", "first_id", "words").where(may_be_in(F.col("fid"), paired)).unionByName(fresh.select("fid", F.col("fid").alias("first_id"), "words"))
+        paired = self._bits(pairs.select("oid"), "paired")
+        words = self._listed(history.select("fid", "first_id", "words"), F.col("fid"), paired).unionByName(fresh.select("fid", F.col("fid").alias("first_id"), "words"))
         words = words.select(F.col("fid").alias("oid"), "first_id", F.col("words").alias("ow"))
         vocabulary = self.vocabulary
 
@@ -351,6 +361,7 @@ class HistoryStore:
         new = firsts.where("old_first is null")
         new.select("key", "fid", "first_id", "words").write.mode("append").parquet(self.ws.path("forms"))
         mine.select("fp", F.col("nid").alias("fid"), F.col("ntotal").alias("total")).write.mode("append").parquet(self.ws.path("prints"))
+        self.total += mine.count()
         before = self.version
         self._learn(self.filters(), self._all_prints(mine, new))
         self.ws.drop(f"tmp{before}", f"bloom{before}")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from axiomill.llm import history
 from axiomill.llm.groups import match_groups
 from axiomill.llm.history import repeats, same_saying, tokens, winnow
 from axiomill.llm.leaks import Automaton, leak_spans, leaks, places, without_leaks, words_of
@@ -87,7 +88,9 @@ ARRIVALS = [
 ]
 
 
-def test_repeats(spark):
+@pytest.mark.parametrize("filter_rows", [0, 10**9])
+def test_repeats(spark, filter_rows, monkeypatch):
+    monkeypatch.setattr(history, "FILTER_ROWS", filter_rows)
     acc = spark.createDataFrame(ACCEPTED, "stmt_id bigint, s string, p string, o string")
     arr = spark.createDataFrame(ARRIVALS, "stmt_id bigint, batch_no int, s string, p string, o string, fid int")
     assert sorted(rows(repeats(acc, arr))) == [(1, 101), (1, 102), (1, 103), (6, 107), (7, 108), (8, 109), (105, 106), (105, 115), (113, 114)]
