@@ -10,7 +10,8 @@ take in what is new.
 
 Fingerprints are salted with entity, predicate and the numbers of the text, as any
 other number makes another statement, so look-alikes of other entities or with
-other numbers never meet. Copies that differ only in spelling of case, marks,
+other numbers never meet. For that, numbers count as groups of three digits: "9 251"
+may be one number or two, and has to meet both "9251" and "9, 251". Copies that differ only in spelling of case, marks,
 punctuation or order fall together by their canonical form before anything is
 paired, so a statement repeated by a third of all rows is one form.
 """
@@ -34,27 +35,46 @@ from axiomill.workspace import Workspace
 
 GRAM, WINDOW = 4, 6  # characters of a gram; grams of a window: any shared run of 9 characters shares a fingerprint
 COVERAGE = 0.2  # least share of the shorter text's fingerprints that a pair must have in common
-TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*")
+TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+|_\d{3}(?!\d))*")
 ARTICLES = frozenset({"a", "an", "the"})
-THOUSANDS = re.compile(r"\d{1,3}(?:,\d{3})+")
+THOUSANDS = re.compile(r"\d{1,3}(?:,\d{3})+(?:\.\d+)?")
+# digits in groups of three: an apostrophe can only join them, a blank may also part two numbers
+JOINED = re.compile(r"(?<!\d)(?<!\d[.,])\d{1,3}(?:['\u2018\u2019\u02BC`]\d{3})+(?!['\u2018\u2019\u02BC`]?\d)")
+PARTED = re.compile(r"(?<!\d)(?<!\d[.,])[1-9]\d{0,2}(?:\s\d{3})+(?:\.\d+|,\d{1,2}(?!\d))?(?![.,]?\d)")
 
 
 # --- canonical form -----------------------------------------------------------
 
 
 def tokens(text: str) -> list[str]:
-    """Words and numbers of a text, without case, marks, ligatures and punctuation."""
+    """Words and numbers of a text, without case, marks, ligatures and punctuation.
+
+    Groups of digits parted by single blanks, which may be one number or several, are one token joined by ``_``.
+    """
     plain = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text).casefold())
-    plain = "".join(c for c in plain if not unicodedata.combining(c))
+    plain = "".join(c for c in plain if not unicodedata.combining(c)).replace("_", ";")
+    plain = JOINED.sub(lambda m: re.sub(r"\D", "", m.group()), plain)
+    plain = PARTED.sub(lambda m: re.sub(r"\s", "_", m.group()), plain)
     return [t.replace(",", "") if THOUSANDS.fullmatch(t) else t for t in TOKEN.findall(plain)]
 
 
+def groups(token: str) -> list[str]:
+    """The digits of a number in groups of three from the right, with its fraction in the last: alike however it is parted."""
+    out = []
+    for part in token.split("_"):
+        whole = re.match(r"\d+", part).end()
+        cuts = [0, *range(whole % 3 or 3, whole, 3), len(part)]
+        out += [part[a:b] for a, b in zip(cuts, cuts[1:])]
+    return out
+
+
 def _canon(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         ordered = [tokens(t) if lit else [t] for t, lit in zip(b["said"], b["is_text"])]
-        b["text"] = [" ".join(t) for t in ordered]
+        spread = [[g for x in t for g in (groups(x) if lit and x[0].isdigit() else [x])] for t, lit in zip(ordered, b["is_text"])]
+        b["text"] = [" ".join(t) for t in spread]
         b["words"] = [" ".join(sorted(t)) for t in ordered]
-        b["nums"] = [" ".join(sorted(x for x in t if x[0].isdigit())) if lit else t[0] for t, lit in zip(ordered, b["is_text"])]
+        b["nums"] = [" ".join(sorted(x for x in t if x[0].isdigit())) if lit else t[0] for t, lit in zip(spread, b["is_text"])]
         yield b[["id", "batch", "entity", "p", "text", "words", "nums"]]
 
 
@@ -194,16 +214,44 @@ def same_word(a: str, b: str) -> bool:
     return slips(a, b, most) or shortened(a, b) or shortened(b, a)
 
 
+def same_numbers(a: list[str], b: list[str]) -> bool:
+    """Whether two bags of numbers are equal in some reading of those whose groups are parted by blanks."""
+    if Counter(g for t in a for g in groups(t)) != Counter(g for t in b for g in groups(t)):
+        return False
+    x, y = Counter(a), Counter(b)
+
+    def placed(whole: list[list[str]], runs: list[list[str]]) -> bool:
+        """Whether the numbers stand in the runs beside one another; what is left of the runs is read group by group."""
+        if not whole:
+            return True
+        first, rest = whole[0], whole[1:]
+        n = len(first)
+        for k, run in enumerate(runs):
+            for at in range(len(run) - n + 1):
+                if run[at : at + n] == first and placed(rest, [*runs[:k], run[:at], run[at + n :], *runs[k + 1 :]]):
+                    return True
+        return False
+
+    def fits(one: Counter, other: Counter) -> bool:
+        whole = [g for t in (one - other).elements() if "_" not in t and len(g := groups(t)) > 1]
+        return placed(sorted(whole, key=len, reverse=True), [groups(t) for t in other.elements() if "_" in t])
+
+    return fits(x, y) and fits(y, x)
+
+
 def same_saying(a: str, b: str, known: frozenset[str] | set[str]) -> bool:
     """Whether two bags of words (sorted, joined by blanks) differ only in how words are written.
 
-    Numbers must be equal; articles may be missing. A word may stand for another only if one of them is no
+    Numbers must be equal, in one reading where a blank may join or part them; articles may be missing. A word may stand for another only if one of them is no
     word of the known vocabulary: two known words are different words however close.
     """
     x, y = Counter(a.split(" ")), Counter(b.split(" "))
     left, right = list((x - y).elements()), list((y - x).elements())
     if any(t[:1].isdigit() for t in left + right):
-        return False
+        numbers = [[t for t in bag.elements() if t[:1].isdigit()] for bag in (x, y)]
+        if not any("_" in t for bag in numbers for t in bag) or not same_numbers(*numbers):
+            return False
+        left, right = ([t for t in side if not t[:1].isdigit()] for side in (left, right))
     # a blank lost or added: two words of one side make one of the other
     for one, two in ((left, right), (right, left)):
         for w in [w for w in one if len(one) < len(two)]:
@@ -330,7 +378,7 @@ class HistoryStore:
         says = fresh.select(F.col("fid").alias("nid"), F.col("words").alias("nw"))
         paired = self._bits(pairs.select("oid"), "paired")
         words = self._listed(history.select("fid", "first_id", "words"), F.col("fid"), paired).unionByName(fresh.select("fid", F.col("fid").alias("first_id"), "words"))
-        words = words.select(F.col("fid").alias("oid"), "first_id", F.col("words").alias("ow"))
+        words = words.select(F.col("fid").alias("oid"), F.when(_two_ways("words"), F.col("fid")).otherwise(F.col("first_id")).alias("first_id"), F.col("words").alias("ow"))
         vocabulary = self.vocabulary
 
         @F.pandas_udf("boolean")
@@ -339,17 +387,17 @@ class HistoryStore:
 
         edges = pairs.join(says, "nid").join(words, "oid").where(same("nw", "ow"))
         edges = self._save(edges.select("nid", F.col("first_id").alias("to")), "edges")
+        nodes = fresh.select(F.col("fid").alias("nid"), _two_ways("words").alias("open"))
 
-        # the least id of each class, handed on until nothing changes
-        labels = self._save(edges.groupBy("nid").agg(F.min("to").alias("first_id")), "label0")
+        # the least id of each class, handed on until nothing changes, but not by texts that can be read two ways
+        labels = self._save(edges.groupBy("nid").agg(F.min("to").alias("first_id")).join(nodes, "nid"), "label0")
         both = edges.union(edges.select(F.col("to").alias("nid"), F.col("nid").alias("to")))
         for k in range(1, 60):
-            known = labels.select(F.col("nid").alias("to"), F.col("first_id").alias("via"))
+            known = labels.where("not open").select(F.col("nid").alias("to"), F.col("first_id").alias("via"))
             labels = labels.select("nid", "first_id")
             best = both.join(known, "to", "left").groupBy("nid").agg(F.min(F.least(F.coalesce("via", "to"), "to")).alias("b"))
-            mine_only = best.join(fresh.select(F.col("fid").alias("nid")), "nid", "left_semi")
-            nxt = mine_only.join(labels, "nid", "left").select("nid", F.least("b", F.coalesce("first_id", "b"), "nid").alias("first_id"), F.col("first_id").alias("was"))
-            labels = self._save(nxt.select("nid", "first_id", (F.col("was").isNull() | (F.col("first_id") < F.col("was"))).alias("moved")), f"label{k}")
+            nxt = best.join(nodes, "nid").join(labels, "nid", "left").select("nid", "open", F.least("b", F.coalesce("first_id", "b"), "nid").alias("first_id"), F.col("first_id").alias("was"))
+            labels = self._save(nxt.select("nid", "open", "first_id", (F.col("was").isNull() | (F.col("first_id") < F.col("was"))).alias("moved")), f"label{k}")
             if labels.where("moved").isEmpty():
                 break
 
@@ -369,6 +417,11 @@ class HistoryStore:
         return found
 
 
+def _two_ways(words: str) -> Column:
+    """Whether a text has groups of digits that may be one number or several."""
+    return F.col(words).rlike(r"\d_\d")
+
+
 def _forms(rows: DataFrame) -> DataFrame:
     """One row per canonical form, with its least id; pre-aggregated, so copies cost no more than one row a task."""
     return rows.groupBy("key").agg(F.min("id").alias("fid"), F.first("block").alias("block"), F.min("text").alias("text"), F.first("words").alias("words"))

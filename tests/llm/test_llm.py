@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from axiomill.llm import history
 from axiomill.llm.groups import match_groups
-from axiomill.llm.history import repeats, same_saying, tokens, winnow
+from axiomill.llm.history import repeats, same_numbers, same_saying, tokens, winnow
 from axiomill.llm.leaks import Automaton, leak_spans, leaks, places, without_leaks, words_of
 from axiomill.llm.mixing import cube_sample, flight, landing, mix, pieces
 from axiomill.llm.truncation import cut_documents, cut_rates
@@ -127,6 +127,24 @@ def test_repeats_against_all_pairs(spark):
     assert got == expected and len(expected) > 20
 
 
+def test_numbers_in_groups_of_digits(spark):
+    """A separator of thousands makes no other number; a blank that may also part two numbers is read both ways."""
+    acc = [(1, "Order 9251 item 31: dust removed"), (2, "Filter at 4, 120 Pa"), (3, "Filter at 5120 Pa"), (4, "8758"), (5, "1234567 l, 36 m"), (6, "Run of 2533.5 Pa")]
+    said = ["Order 9 251 item 31: dust removed", "order 9\u2019251 item 31 dust remvoed", "Order 9\u202f251 item 31: dust removed", "Filter at 4 120 Pa", "Filter at 5'120 Pa", "Filter at 4'120 Pa"]
+    said += ["8 758", "36 m, 1 234 567 l", "Run of 2,533.5 Pa", "Run of 2 533.5 Pa", "Order 9 252 item 31: dust removed", "Filter at 5 121 Pa", "Order 9 25 item 31: dust removed"]
+    a = spark.createDataFrame([(k, "urn:a", "hv:n", f'"{t}"') for k, t in acc], "stmt_id bigint, s string, p string, o string")
+    b = spark.createDataFrame([(100 + k, 1, "urn:a", "hv:n", f'"{t}"') for k, t in enumerate(said)], "stmt_id bigint, batch_no int, s string, p string, o string")
+    # 105 says what 103 may say, but not what 2 says
+    assert sorted(rows(repeats(a, b))) == [(1, 100), (1, 101), (1, 102), (2, 103), (3, 104), (4, 106), (5, 107), (6, 108), (6, 109), (103, 105)]
+
+
+def test_readings_of_numbers():
+    same = lambda a, b: same_numbers(tokens(a), tokens(b))
+    assert same("4 120", "4120") and same("4 120", "4, 120") and not same("4120", "4, 120") and not same("4 120", "4 121")
+    assert same("4 120; 4120", "4 120; 4, 120") and not same("4 120; 4120", "4, 120; 4, 120")
+    assert same("1 234 567", "1; 234567") and same("1 234 567", "1234; 567") and not same("1 234 567", "234567; 1234")
+
+
 def test_winnowing_shares_what_texts_share():
     r = random.Random(2)
     texts = ["".join(r.choice(string.ascii_lowercase) for _ in range(60)) for _ in range(20)]
