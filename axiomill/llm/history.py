@@ -23,6 +23,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -276,6 +277,7 @@ def same_saying(a: str, b: str, known: frozenset[str] | set[str]) -> bool:
 # --- the store ----------------------------------------------------------------
 
 FILTER_ROWS = 2_000_000  # a history of more fingerprints is filtered before it is joined with a batch
+JUMP = 3  # rounds of handing labels on from which pointers are doubled
 FORMS = "key string, fid bigint, first_id bigint, words string"
 PRINTS = "fp bigint, fid bigint, total int"
 
@@ -392,11 +394,14 @@ class HistoryStore:
         # the least id of each class, handed on until nothing changes, but not by texts that can be read two ways
         labels = self._save(edges.groupBy("nid").agg(F.min("to").alias("first_id")).join(nodes, "nid"), "label0")
         both = edges.union(edges.select(F.col("to").alias("nid"), F.col("nid").alias("to")))
-        for k in range(1, 60):
+        for k in count(1):
             known = labels.where("not open").select(F.col("nid").alias("to"), F.col("first_id").alias("via"))
             labels = labels.select("nid", "first_id")
             best = both.join(known, "to", "left").groupBy("nid").agg(F.min(F.least(F.coalesce("via", "to"), "to")).alias("b"))
             nxt = best.join(nodes, "nid").join(labels, "nid", "left").select("nid", "open", F.least("b", F.coalesce("first_id", "b"), "nid").alias("first_id"), F.col("first_id").alias("was"))
+            if k > JUMP:  # a long chain: the label of the label too, so what a round gains doubles
+                far = known.select(F.col("to").alias("first_id"), F.col("via").alias("far"))
+                nxt = nxt.join(far, "first_id", "left").select("nid", "open", F.least("first_id", "far").alias("first_id"), "was")
             labels = self._save(nxt.select("nid", "open", "first_id", (F.col("was").isNull() | (F.col("first_id") < F.col("was"))).alias("moved")), f"label{k}")
             if labels.where("moved").isEmpty():
                 break

@@ -145,6 +145,14 @@ def test_readings_of_numbers():
     assert same("1 234 567", "1; 234567") and same("1 234 567", "1234; 567") and not same("1 234 567", "234567; 1234")
 
 
+def test_a_long_chain_of_near_repeats(spark):
+    """Each says the same as the next alone; all of one batch repeat the first."""
+    n = 75
+    arr = [(k, 1, "urn:a", "hv:n", f'"{"b" * 2 * k + "a" * 2 * (n - k)}"') for k in range(1, n)]
+    arr = spark.createDataFrame(arr, "stmt_id bigint, batch_no int, s string, p string, o string")
+    assert sorted(rows(repeats(arr.limit(0).drop("batch_no"), arr))) == [(1, k) for k in range(2, n)]
+
+
 def test_winnowing_shares_what_texts_share():
     r = random.Random(2)
     texts = ["".join(r.choice(string.ascii_lowercase) for _ in range(60)) for _ in range(20)]
