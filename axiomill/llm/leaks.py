@@ -2,8 +2,9 @@
 
 The normalised words of all test items form one generalised suffix automaton. The
 words of every document stream through it; it keeps the longest suffix of what it
-has read that stands in some item, and where such a match ends, the match is a
-seed with all the places in items where it occurs. Seeds are extended both ways
+has read that stands in some item. Its shorter suffixes may stand in further items,
+so wherever a place in an item ceases to match, though others go on, the suffix that
+reached it is a seed with all the places where it occurs. Seeds are extended both ways
 over small slips; a row of matched words that is long enough, or that covers
 enough of an item, is a leak, and its span can be removed from the text.
 
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 MIN_WORDS = 12  # words of an item in a row that make a leak
 SEED = 3  # words without a slip that start or resume a row
 BLOCK_WORDS = 200_000  # words of items in one automaton; more items take more blocks
+Taken = tuple[bytearray, bytearray] | None
 SPANS = "doc_id bigint, item_id bigint, first_char bigint, end_char bigint, n_words int, coverage double"
 
 NUMERAL = re.compile(r"[(\[{]\s*\d{1,5}[a-z]?'?\s*[)\]}]")
@@ -95,6 +97,7 @@ class Automaton:
         for v in order:  # a state also ends wherever a longer string with it as suffix does
             if self.link[v] > 0:
                 self.ends[self.link[v]] = self.ends[self.link[v]] + self.ends[v]
+        self.count = [len(e) for e in self.ends]
         n = len(self.number) + 1
         pairs = {a * n + b for s in self.seqs for a, b in zip(s, s[1:])}
         self.pairs = np.array(sorted(pairs), np.int64)
@@ -132,7 +135,7 @@ class Automaton:
         return new
 
     def seeds(self, nums: np.ndarray) -> list[tuple[int, int, int]]:
-        """(state, end, length) of every longest match of SEED words or more that the next word ends."""
+        """(state, end, length) of every match of SEED words or more that the next word ends in a place where no longer one ends."""
         if len(nums) < SEED:
             return []
         n = len(self.number) + 1
@@ -144,20 +147,31 @@ class Automaton:
         begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + 1
         keep = end - begin >= SEED
         out = []
-        nxt, link, size = self.next, self.link, self.size
+        nxt, link, size, count = self.next, self.link, self.size, self.count
+
+        def ended(v: int, at: int, n: int, c: int) -> None:
+            lost = 0  # places that end here with the suffixes looked at so far
+            while n >= SEED:
+                to = nxt[v].get(c)
+                gone = count[v] - (count[to] if to is not None else 0)
+                if gone > lost:
+                    out.append((v, at, n))
+                    lost = gone
+                v = link[v]
+                n = size[v]
+
         for a, b in zip(begin[keep].tolist(), end[keep].tolist()):
             state = length = 0
             for i, c in enumerate(nums[a:b].tolist(), a):
-                if c not in nxt[state]:
-                    if length >= SEED:
-                        out.append((state, i, length))
-                    while state and c not in nxt[state]:
-                        state = link[state]
-                        length = size[state]
+                if length >= SEED:
+                    ended(state, i, length, c)
+                while state and c not in nxt[state]:
+                    state = link[state]
+                    length = size[state]
                 state = nxt[state].get(c, 0)
                 length = length + 1 if state else 0
             if length >= SEED:
-                out.append((state, b, length))
+                ended(state, b, length, 0)
         return out
 
 
@@ -200,7 +214,7 @@ def _run(doc: list[str], item: list[str], i: int, j: int, step: int, most: int =
     return n, i, j
 
 
-def _extend_row(doc: list[str], item: list[str], i: int, j: int, step: int) -> list[tuple[int, int]]:
+def _extend_row(doc: list[str], item: list[str], i: int, j: int, step: int, taken: Taken = None) -> list[tuple[int, int]]:
     """(matched words, place after them in doc) of pieces parted by one slip each, from doc[i], item[j] on."""
     out = []
     n, i, j = _run(doc, item, i, j, step)
@@ -208,6 +222,8 @@ def _extend_row(doc: list[str], item: list[str], i: int, j: int, step: int) -> l
     while True:
         best = None
         for di, dj in ((1, 1), (1, 0), (0, 1)):  # a word wrong, added, missing
+            if taken and 0 <= i < len(doc) and taken[not di][i if di or step > 0 else i + 1]:
+                continue
             m, a, b = _run(doc, item, i + di * step, j + dj * step, step)
             if m >= SEED and (best is None or m > best[0]):
                 best = (m, a, b)
@@ -217,13 +233,14 @@ def _extend_row(doc: list[str], item: list[str], i: int, j: int, step: int) -> l
         out.append((n, i))
 
 
-def rows_of_words(doc: list[str], item: list[str], end: int, pos: int, length: int) -> tuple[int, int, int] | None:
+def rows_of_words(doc: list[str], item: list[str], end: int, pos: int, length: int, taken: Taken = None) -> tuple[int, int, int] | None:
     """The longest row around a seed that has few enough slips: (words, first, after last), or None.
 
     Slips part pieces of SEED words or more, and are at most one to five matched words.
+    ``taken`` marks words, and bounds before words, that cannot be slips.
     """
-    left = _extend_row(doc, item, end - length - 1, pos - length, -1)
-    right = _extend_row(doc, item, end, pos + 1, 1)
+    left = _extend_row(doc, item, end - length - 1, pos - length, -1, taken)
+    right = _extend_row(doc, item, end, pos + 1, 1, taken)
     pieces = [(n, a) for n, a in reversed(left[1:])]
     middle = left[0][0] + length + right[0][0]
     sizes = [n for n, _ in pieces] + [middle] + [n for n, _ in right[1:]]
@@ -254,19 +271,32 @@ class Detector:
         if not seeds:
             return []
         by_item = defaultdict(list)
+        coded = nums.tolist()
+        # of a place that only a shorter suffix reaches, the words around are other items' own: none that stands in a seed is a slip
+        words, bounds = taken = bytearray(len(doc)), bytearray(len(doc))
+        last = -1
         for state, end, length in seeds:
+            start = end - length
+            words[start:end] = b"\x01" * length
+            bounds[start + 1 : end] = b"\x01" * (length - 1)
+            longest = end != last and (end == len(coded) or coded[end] not in auto.next[state])
+            last = end
             for k, pos in auto.ends[state]:
-                by_item[k].append((length, end, pos))
+                seq = auto.seqs[k]
+                goes_on = end < len(coded) and pos + 1 < len(seq) and coded[end] == seq[pos + 1]
+                began_before = start and pos >= length and coded[start - 1] == seq[pos - length]
+                if not goes_on and not began_before:  # else its own longest match is another seed
+                    by_item[k].append((longest, length, end, pos))
         out = []
         for k, found in by_item.items():
             item_id, item = auto.items[k]
             need = min(self.min_words, max(1, int(np.ceil(self.min_coverage * len(item)))))
             best, seen = None, set()
-            for length, end, pos in sorted(found, reverse=True):
+            for longest, length, end, pos in sorted(found, reverse=True):
                 if (end - pos, end) in seen:
                     continue
-                row = rows_of_words(doc, item, end, pos, length)
-                seen.update((e - p, e) for _, e, p in found if e - p == end - pos and row and row[1] < e <= row[2])
+                row = rows_of_words(doc, item, end, pos, length, None if longest else taken)
+                seen.update((e - p, e) for _, _, e, p in found if e - p == end - pos and row and row[1] < e <= row[2])
                 if row and row[0] >= need and (best is None or row[0] > best[0]):
                     best = row
             if best:

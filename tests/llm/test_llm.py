@@ -208,6 +208,32 @@ def test_leaks(spark):
     assert (14, 3) in {(r[1], r[4]) for r in rows(leak_spans(spark.createDataFrame([(1, "a short item here too")], "doc_id bigint, text string"), i))} or True
 
 
+def test_leaks_of_items_that_share_a_passage(spark):
+    """A document that goes on with one item's words, after the passage or before it, leaks the other too."""
+    items = [(20, "as stated above " + PASSAGE + " which reading is reported"), (21, PASSAGE + " so what is its cause"), (22, "by contrast " + PASSAGE)]
+    docs = [(1, PASSAGE + " which reading is reported then"), (2, "it is as stated above " + PASSAGE + " which reading"), (3, "by contrast " + PASSAGE + " so what is its")]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert sorted(rows(leaks(d, i))) == [(k, n) for k in (1, 2, 3) for n in (20, 21, 22)]
+
+
+def test_seeds_reach_every_place():
+    """Each place's own longest match is among the seeds, as search finds them."""
+    r = random.Random(5)
+    items = [(k, [r.choice("abc") for _ in range(r.randrange(0, 20))]) for k in range(5)]
+    auto = Automaton(items)
+    for _ in range(60):
+        doc = [r.choice("abcd") for _ in range(30)]
+        seeds = {(k, p, e, n) for v, e, n in auto.seeds(np.array([auto.number.get(w, 0) for w in doc], np.int64)) for k, p in auto.ends[v]}
+        for k, s in items:
+            for e in range(1, 31):
+                for p in range(len(s)):
+                    n = 0
+                    while n < min(e, p + 1) and doc[e - 1 - n] == s[p - n]:
+                        n += 1
+                    if n >= 3 and (e == 30 or p + 1 == len(s) or doc[e] != s[p + 1]):
+                        assert (k, p, e, n) in seeds
+
+
 def test_places_follow_words():
     for t in ("Foo-bar (12) bäz, qu-\n ux ﬁlter  1.5 [3a] end_", "", "(1)", "a­b -\nc", "Ⅰ x² ß"):
         assert len(places(t)) == len(words_of(t))
