@@ -7,7 +7,10 @@ from its end shows a cut; one that many texts have there shows a text that merel
 ends. Digits count as one sign, so figures do not split the counts, and ends are
 counted once a family, so copies of one text prove nothing.
 
-Distances above 0 let the words before a half word speak. Counts are kept for a
+Distances above 0 let the words before a half word speak. Only trigrams that reach into
+an unfinished last sentence can show a usual end, as those before its beginning end a
+whole sentence; where the very last trigram is frequent and never last, and no mark
+closes the text, it decides alone. Counts are kept for a
 source as well, as one source may end its texts where others never do.
 
 A cut at a field limit may leave a whole sentence, which no trigram betrays. So the
@@ -35,6 +38,8 @@ TOKENS = r"split(trim(regexp_replace(lower({text}), '[\\x00-\\x24\\x26-\\x60\\x7
 # a text that ends inside a character, an entity, a code or a tag
 INSIDE = r"(\\uFFFD|&#?[a-zA-Z0-9]{{1,8}}|\\\\u[0-9a-fA-F]{{0,3}}|<[a-zA-Z/]{{0,8}})$"
 MARK = r"(\\.\\.\\.|…|\\[(\\.\\.\\.|…)\\])\\s*$"
+CLOSED = r"[.!?*:;][^\\p{{L}}\\p{{N}}]{{0,3}}$"  # a text that a mark closes
+WHOLE = 99  # stands for the words of its last sentence, as all of them may show a usual end
 TAIL = 300  # characters in which the last words are looked for before the whole text is
 
 # one pass over the texts: lengths, the last characters and the last words, which are those of the whole text
@@ -44,19 +49,20 @@ with d as (
   from {{documents}} where doc_id is not null and text is not null),
 t as (
   select doc_id, src, has_src, fam, length(text) as chars, octet_length(text) as bytes, right(tail, 16) as tail,
-    {TOKENS.format(text="tail")} as near, text from d),
+    {TOKENS.format(text="tail")} as near, text,
+    if(rtrim(tail) rlike '{CLOSED}', {WHOLE}, size(filter({TOKENS.format(text="element_at(split(tail, '[.!?]\\\\s+'), -1)")}, x -> x <> ''))) as m from d),
 w as (
-  select doc_id, src, has_src, fam, chars, bytes, tail,
+  select doc_id, src, has_src, fam, chars, bytes, tail, m,
     if(size(near) < {DEPTH + 4} and chars > {TAIL}, {TOKENS.format(text="text")}, near) as w from t)
-select doc_id, src, has_src, fam, chars, bytes, tail, slice(w, -least({DEPTH + 2}, size(w)), {DEPTH + 2}) as w from w
+select doc_id, src, has_src, fam, chars, bytes, tail, m, slice(w, -least({DEPTH + 2}, size(w)), {DEPTH + 2}) as w from w
 """
 
 LAST = """
 with e as (
-  select doc_id, src, fam, w[size(w) - 2] as b1, w[size(w) - 1] as b2,
+  select doc_id, src, fam, m, w[size(w) - 2] as b1, w[size(w) - 1] as b2,
     explode(transform(sequence(0, size(w) - 3), d -> struct(d, xxhash64(w[size(w) - 3 - d], w[size(w) - 2 - d], w[size(w) - 1 - d]) as tri))) as x
   from {facts} where size(w) >= 3)
-select doc_id, src, fam, x.d, x.tri, xxhash64(b1, b2) as bi from e
+select doc_id, src, fam, m, x.d, x.tri, xxhash64(b1, b2) as bi from e
 """
 
 # which trigrams are last ones somewhere: one bit each, in a list of fixed size
@@ -79,6 +85,8 @@ where getbit((select bits from {{bits}})[cast(pmod(g, {SLOTS * 64}) div 64 as in
 group by src, g
 """
 
+USUAL_END = f"(near >= 3 and near >= {USUAL} * n)"
+USUAL_IN_SOURCE = "(ts >= 1 and ns >= 10 and ts >= 0.02 * ns)"
 EVIDENCE = f"""
 with at_src as (select src, tri, d, count(distinct fam) as t from {{last}} group by src, tri, d),
 at_all as (select tri, d, count(distinct fam) as t from {{last}} group by tri, d),
@@ -86,7 +94,7 @@ ends as (
   select tri, d, t, sum(t) over (partition by tri order by d range between 1 preceding and 1 following) as around from at_all),
 in_all as (select g, sum(n) as n from {{inside}} group by g),
 j as (
-  select l.doc_id, l.d, n.n, e.t - 1 as t, if(l.d = 0, e.t, if(l.d = 1, e.around - coalesce(z.t, 0), e.around)) - 1 as near,
+  select l.doc_id, l.m, l.d, n.n, e.t - 1 as t, if(l.d = 0, e.t, if(l.d = 1, e.around - coalesce(z.t, 0), e.around)) - 1 as near,
     i.n as ns, a.t - 1 as ts
   from {{last}} l
   join in_all n on n.g = l.tri
@@ -98,15 +106,16 @@ k as (
   select doc_id,
     bool_or(n >= {FREQUENT} and t <= {RARE} * n) as rare_end,
     bool_or(d = 0 and n >= {CERTAIN} and t <= {RARE} * n) as certain,
-    bool_or(near >= 3 and near >= {USUAL} * n) as usual,
-    bool_or(ts >= 1 and ns >= 10 and ts >= 0.02 * ns) as usual_in_source
+    bool_or(d < m and {USUAL_END}) as usual,
+    bool_or(d < m and {USUAL_IN_SOURCE}) as usual_in_source,
+    bool_or(m < {WHOLE} and d = 0 and n >= {FREQUENT} and t <= {RARE} * n and not {USUAL_END} and not {USUAL_IN_SOURCE}) as unfinished
   from j group by doc_id),
 bi_end as (select bi, count(distinct fam) as t from {{last}} where d = 0 group by bi),
 b as (
   select l.doc_id, e.t - 1 >= 5 and e.t - 1 >= 0.1 * coalesce(n.n, 0) as closing
   from {{last}} l join bi_end e on e.bi = l.bi left join in_all n on n.g = l.bi where l.d = 0)
 select k.doc_id from k join b on b.doc_id = k.doc_id
-where not closing and not usual_in_source and (certain or (rare_end and not usual))
+where not closing and (unfinished or not usual_in_source and (certain or (rare_end and not usual)))
 """
 
 # lengths in characters and bytes, families a length, against the mean of the lengths around it

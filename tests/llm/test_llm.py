@@ -326,3 +326,18 @@ def test_cut_documents(spark):
     assert rows(cut_documents(df.limit(0))) == []
     rates = {x[0]: x[1:] for x in rows(cut_rates(df))}
     assert rates["cards"] == (40, 40, 1.0) and rates[None][0] == 1
+
+
+def test_cuts_after_usual_words(spark):
+    """A cut just after a whole sentence, or where one other family of the source has the same words before its end, stays a cut."""
+    r = random.Random(3)
+    nouns = ["valve", "coil", "pump", "fan", "duct", "filter", "belt", "motor"]
+
+    def body():
+        return " ".join(f"In this design the {r.choice(nouns)} is coupled to the {r.choice(nouns)} so that wear is kept low by design." for _ in range(8))
+
+    whole = [(k, "feed", k, f"{body()} The invention ends with the drive belt.") for k in range(200)]
+    begun = [(1000, "feed", 1000, f"{body()} The invention ends with the drive belt.\n[0023] Th"), (1001, "feed", 1001, f"{body()} The invention ends with the drive belt. In this design the")]
+    no_stop = [(2000 + k, "feed", 2000 + k, f"{body()} The invention ends with the drive belt") for k in range(5)]
+    df = spark.createDataFrame(whole + begun + no_stop, "doc_id bigint, source string, family_id bigint, text string")
+    assert {x[0] for x in rows(cut_documents(df))} == {1000, 1001}
