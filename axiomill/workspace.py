@@ -25,6 +25,43 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def _at(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as the JVM has them."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()), p
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where there is no folder."""
+    fs, p = _at(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, as the driver keeps its state in."""
+    fs, p = _at(spark, path)
+    f = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(f, "UTF-8")
+    finally:
+        f.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that stands whole or not at all: it is written under another name first."""
+    fs, p = _at(spark, path)
+    _, part = _at(spark, f"{path}.part")
+    f = fs.create(part, True)
+    try:
+        f.write(bytearray(text.encode()))
+    finally:
+        f.close()
+    fs.delete(p, False)
+    if not fs.rename(part, p):
+        raise OSError(f"cannot write {path}")
+
+
 class Workspace:
     """Named Parquet tables of one operator run; ``drop`` frees those no longer read.
 
@@ -32,9 +69,13 @@ class Workspace:
     instead of recomputing what led to them.
     """
 
-    def __init__(self, spark: SparkSession, root: str | None = None):
+    def __init__(self, spark: SparkSession, root: str | None = None, keep: bool = False):
+        """A folder of its own below ``root``, which is deleted when the driver ends, or with ``keep`` the folder ``root`` itself."""
         self.spark = spark
-        self.root = f"{root or shared_dir(spark)}/axm-{uuid.uuid4().hex}"
+        self.root = root if keep else f"{root or shared_dir(spark)}/axm-{uuid.uuid4().hex}"
+        if not keep:
+            fs, p = _at(spark, self.root)
+            fs.deleteOnExit(p)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -51,8 +92,6 @@ class Workspace:
         self.drop("")
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
-            p.getFileSystem(conf).delete(p, True)
+            fs, p = _at(self.spark, self.path(name) if name else self.root)
+            fs.delete(p, True)
