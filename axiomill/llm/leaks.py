@@ -262,8 +262,8 @@ class Detector:
         self.min_words, self.min_coverage = min_words, min_coverage
         self.auto = Automaton([(i, words_of(t)) for i, t in items])
 
-    def find(self, text: str) -> list[tuple[int, int, int, int, float]]:
-        """(item, first word, after last word, words, coverage) of the longest row of each item."""
+    def find(self, text: str, every: bool = False) -> list[tuple[int, int, int, int, float]]:
+        """(item, first word, after last word, words, coverage) of the longest row of each item, or of ``every`` row that leaks."""
         auto = self.auto
         doc = words_of(text)
         nums = np.fromiter(map(auto.number.get, doc, [0] * len(doc)), np.int64, len(doc))
@@ -291,16 +291,17 @@ class Detector:
         for k, found in by_item.items():
             item_id, item = auto.items[k]
             need = min(self.min_words, max(1, int(np.ceil(self.min_coverage * len(item)))))
-            best, seen = None, set()
+            best, seen, leaked = None, set(), set()
             for longest, length, end, pos in sorted(found, reverse=True):
                 if (end - pos, end) in seen:
                     continue
                 row = rows_of_words(doc, item, end, pos, length, None if longest else taken)
                 seen.update((e - p, e) for _, _, e, p in found if e - p == end - pos and row and row[1] < e <= row[2])
-                if row and row[0] >= need and (best is None or row[0] > best[0]):
-                    best = row
-            if best:
-                out.append((item_id, best[1], best[2], best[0], min(1.0, best[0] / len(item))))
+                if row and row[0] >= need:
+                    leaked.add(row)
+                    best = row if best is None or row[0] > best[0] else best
+            for n, lo, hi in sorted(leaked) if every else [best] if best else []:
+                out.append((item_id, lo, hi, n, min(1.0, n / len(item))))
         return out
 
 
@@ -354,25 +355,42 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     return leak_spans(documents, items, spans=False).select("doc_id", "item_id").distinct()
 
 
+def _cut_out(detector: Detector, text: str) -> tuple[str, int]:
+    """The text without any span that leaks, and how many were cut; what a cut brings together is looked at again."""
+    n = 0
+    while found := detector.find(text, every=True):
+        at = places(text)
+        kept, end = [], 0
+        for lo, hi in sorted({(at[lo][0], at[hi - 1][1]) for _, lo, hi, _, _ in found}):
+            if hi > end:
+                kept.append(text[end : max(end, lo)])
+                n += lo >= end
+                end = hi
+        text = "".join([*kept, text[end:]])
+    return text, n
+
+
+CLEAN = "doc_id bigint, text string, n_spans int, n_chars bigint"
+
+
+def _cutter(items: list[tuple[int, str]], min_words: int, min_coverage: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        detector = Detector(items, min_words, min_coverage)
+        for b in batches:
+            done = [_cut_out(detector, t) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text": [t for t, _ in done], "n_spans": b["n_spans"] + [n for _, n in done], "n_chars": b["n_chars"]})
+
+    return run
+
+
 def without_leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, min_coverage: float = 1.0, max_share: float = 0.5) -> DataFrame:
-    """(doc_id, text, n_spans): texts with the leaked spans cut out; a text of which they make more than ``max_share`` is left out."""
-    cut = leak_spans(documents, items, min_words, min_coverage).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("first_char", "end_char"))).alias("spans"))
+    """(doc_id, text, n_spans): texts with every leaked span cut out; a text of which they make more than ``max_share`` is left out.
 
-    @F.pandas_udf("string")
-    def remove(text: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for t, ss in zip(text, spans):
-            if t is None or ss is None or not len(ss):
-                out.append(t)
-                continue
-            kept, at = [], 0
-            for s in ss:
-                kept.append(t[at : max(at, s["first_char"])])
-                at = max(at, s["end_char"])
-            kept.append(t[at:])
-            left = "".join(kept)
-            out.append(left if len(t) - len(left) <= max_share * len(t) else None)
-        return pd.Series(out, dtype=object)
-
-    docs = documents.select("doc_id", "text").where("doc_id is not null and text is not null").join(cut, "doc_id", "left")
-    return docs.select("doc_id", remove("text", "spans").alias("text"), F.coalesce(F.size("spans"), F.lit(0)).alias("n_spans")).where("text is not null")
+    Spans are found and cut in one pass, which exchanges no text. A row of words counts
+    as in ``leak_spans``; of an item that leaks in several places all are cut, and the
+    result is searched again until none is left. Null ids and texts are absent; repeated documents stay so.
+    """
+    docs = documents.select("doc_id", "text", F.lit(0).alias("n_spans"), F.length("text").cast("bigint").alias("n_chars")).where("doc_id is not null and text is not null")
+    for block in _blocks(items):
+        docs = docs.mapInPandas(_cutter(block, min_words, min_coverage), CLEAN)
+    return docs.where((F.col("n_chars") - F.length("text")) <= max_share * F.col("n_chars")).select("doc_id", "text", "n_spans")

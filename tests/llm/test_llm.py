@@ -240,6 +240,21 @@ def test_leaks(spark):
     assert {(r[1], r[4]) for r in rows(leak_spans(spark.createDataFrame([(1, "a short item here too")], "doc_id bigint, text string"), i))} == {(14, 3)}
 
 
+def test_nothing_that_leaks_is_left(spark):
+    """Two passages of an item, one passage twice, and halves that a cut brings together."""
+    w = (PASSAGE + " which is then written down by hand before the shift ends and the next crew takes over the plant for the night").split()
+    two = "one " + " ".join(w[:15]) + " between " + " ".join(w[24:40]) + " end"
+    twice = "one " + PASSAGE + " and again " + PASSAGE + " end"
+    halves = "start " + " ".join(w[:8]) + " " + " ".join(w[20:36]) + " " + " ".join(w[8:16]) + " stop"
+    docs = spark.createDataFrame([(1, two), (2, twice), (3, halves), (3, halves)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, " ".join(w))], "item_id bigint, text string")
+    clean = without_leaks(docs, items, max_share=1.0)
+    got = sorted(rows(clean))
+    assert got[0] == (1, "one  between  end", 2) and got[1] == (2, "one  and again  end", 2) and got[2] == got[3]
+    assert got[2][1].split() == ["start", "stop"]
+    assert rows(leaks(clean, items)) == []
+
+
 def test_leaks_of_items_that_share_a_passage(spark):
     """A document that goes on with one item's words, after the passage or before it, leaks the other too."""
     items = [(20, "as stated above " + PASSAGE + " which reading is reported"), (21, PASSAGE + " so what is its cause"), (22, "by contrast " + PASSAGE)]
