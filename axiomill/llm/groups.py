@@ -15,7 +15,7 @@ is between two exchanged tables, where the adaptive plan splits a hub's partitio
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from axiomill.functions.terms import same_term
@@ -32,16 +32,17 @@ def prune(graph: DataFrame, ws: Workspace, max_rounds: int = 200) -> list[DataFr
     """The forest, one table (child, parent) a round, of a symmetric graph (u, v), u <> v."""
     forest = []
     for k in range(max_rounds):
-        near = ws.save(graph.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"near{k}")
+        near = graph.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         told = graph.join(near, "u").select(F.col("v").alias("u"), "m").union(near.select("u", "m")).distinct()
         told = ws.save(told, f"told{k}")
         best = told.groupBy("u").agg(F.min("m").alias("best"), F.max(F.col("m") == F.col("u")).alias("kept"))
         best = ws.save(best, f"best{k}")
         forest.append(best.where("not kept").select(F.col("u").alias("child"), F.col("best").alias("parent")))
         links = told.join(best.select("u", "best"), "u").where("m <> best").select(F.col("m").alias("u"), F.col("best").alias("v"))
-        graph = ws.save(_both_ways(links), f"graph{k + 1}")
-        ws.drop(f"near{k}", f"told{k}", f"graph{k}")
-        if graph.isEmpty():
+        left = Observation()
+        graph = ws.save(_both_ways(links).observe(left, F.count("*").alias("n")), f"graph{k + 1}")
+        ws.drop(f"told{k}", f"graph{k}")
+        if not left.get["n"]:
             return forest
     raise RuntimeError(f"the graph still has edges after {max_rounds} rounds")
 
