@@ -3,9 +3,9 @@
 Heavy keys are found with a mergeable sketch of frequent items, one small map a
 partition, merged at the driver: at most ``1 / share`` keys can hold ``share`` of
 the rows, so the list has a proven bound and can be broadcast. Rows of heavy keys
-meet that list in a broadcast join and are spread over buckets of the entity they
-count; the remaining keys take an ordinary exchange; the union of both is the
-result.
+meet that list in a broadcast join and are spread by key, entity and value, combined
+before every exchange; the remaining keys take an ordinary exchange; the union of both
+is the result.
 """
 
 from __future__ import annotations
@@ -54,31 +54,35 @@ def heavy_keys(df: DataFrame, key: str, share: float = 0.01) -> dict[str, float]
     return {r["key"]: r["n"] / total for r in merged if r["key"] is not None and r["n"] >= total * share / 2}
 
 
-def count_per_key(df: DataFrame, key: str, entity: str, value: str, share: float | None = None, buckets: int | None = None) -> DataFrame:
+def count_per_key(df: DataFrame, key: str, entity: str, value: str, share: float | None = None) -> DataFrame:
     """(key, n_rows, n_entities, n_pairs): rows, distinct entities, distinct (entity, value) of each key.
 
-    A row with a null key, entity or value is absent. The bucket of a heavy key's row
-    is a hash of its entity, so the distinct counts of the buckets add up exactly.
+    A row with a null key, entity or value is absent. No rows give no keys; other columns
+    are not read. The sketch reads the key alone; heavy and light keys are then read once each.
     """
     named = df.select(F.col(key).alias("k"), F.col(entity).alias("e"), F.col(value).alias("v"))
     rows = named.where("k is not null and e is not null and v is not null")
     spark = df.sparkSession
-    parts = buckets or max(2, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(2, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # a key is heavy where it would fill half of a partition: at most 4 keys a partition are listed
     heavy = heavy_keys(named, "k", share or min(0.01, 1 / (2 * parts)))
     listed = spark.createDataFrame([(k,) for k in heavy], "hk string")
     hot = rows.join(F.broadcast(listed), F.col("k") == F.col("hk"), "left_semi")
     cold = rows.join(F.broadcast(listed), F.col("k") == F.col("hk"), "left_anti")
+    # a light key is settled in one partition, by one exchange, whose partitions the adaptive plan sizes
+    return _counted(pairs_of(hot)).unionByName(_counted(pairs_of(cold.repartition("k")))).select(F.col("k").alias(key), "n_rows", "n_entities", "n_pairs")
 
-    # one exchange: the finer groupings below are all settled within a bucket
-    spread = hot.withColumn("bucket", F.pmod(F.xxhash64("e"), F.lit(parts))).repartition(parts, "k", "bucket")
-    pairs = spread.groupBy("k", "bucket", "e", "v").agg(F.count("*").alias("n"))
-    entities = pairs.groupBy("k", "bucket", "e").agg(F.sum("n").alias("n"), F.count("*").alias("np"))
-    per_bucket = entities.groupBy("k", "bucket").agg(F.sum("n").alias("n"), F.count("*").alias("ne"), F.sum("np").alias("np"))
-    of_hot = per_bucket.groupBy("k").agg(F.sum("n").alias("n_rows"), F.sum("ne").alias("n_entities"), F.sum("np").alias("n_pairs"))
 
-    plain = cold.repartition(parts, "k")
-    pairs = plain.groupBy("k", "e", "v").agg(F.count("*").alias("n"))
+def pairs_of(rows: DataFrame) -> DataFrame:
+    """(k, e, v, n) of rows, combined before they are exchanged, unless they are by key already.
+
+    Rows of heavy keys are spread by key, entity and value together: neither a key nor an entity of it
+    that holds most rows gathers in a task, and repeats of one triple are one row a task.
+    """
+    return rows.groupBy("k", "e", "v").agg(F.count("*").alias("n"))
+
+
+def _counted(pairs: DataFrame) -> DataFrame:
+    """What is left of a key or of one of its entities is again combined before each exchange, to a row a task."""
     entities = pairs.groupBy("k", "e").agg(F.sum("n").alias("n"), F.count("*").alias("np"))
-    of_cold = entities.groupBy("k").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_entities"), F.sum("np").alias("n_pairs"))
-    return of_hot.unionByName(of_cold).select(F.col("k").alias(key), "n_rows", "n_entities", "n_pairs")
+    return entities.groupBy("k").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_entities"), F.sum("np").alias("n_pairs"))
