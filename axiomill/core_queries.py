@@ -30,6 +30,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.hierarchy(part_links(spark, sf_dir), "child", "parent")
 
 
+def p2_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that are given several parents, and the one that the hierarchy keeps."""
+    return H.parent_conflicts(part_links(spark, sf_dir), "child", "parent")
+
+
 WIDE = [
     P.Attribute("rdfs:label", "label_text", P.as_text),
     P.Attribute("hv:serial", "serial", P.as_text),
@@ -75,7 +80,7 @@ def nt(c: str) -> str:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_loaded": p4_loaded, "p5_found": p5_found, "p6_found": p6_found}
+    return {"p2_found": p2_found, "p2_conflicts": p2_conflicts, "p3_found": p3_found, "p4_found": p4_found, "p4_loaded": p4_loaded, "p5_found": p5_found, "p6_found": p6_found}
 
 
 LIT = r"""^"((?:[^"\\]|\\.)*)"(?:@([A-Za-z0-9-]+)|\^\^(\S+))?$"""
@@ -124,6 +129,11 @@ select n.n node, case when t.n is not null then 'tree' when exists (select 1 fro
   coalesce(t.root, '') root_node, coalesce(t.d, -1)::bigint node_depth, coalesce(t.path, '') node_path,
   (case when t.n is null then -1 else coalesce(b.k, 0) end)::bigint n_desc
 from nodes n left join tree t on t.n = n.n left join below b on b.a = n.n""",
+        "p2_conflicts": f"""
+with rows as (select {nt("p")} p, {nt("s")} s, {nt("o")} o from part_links),
+e as (select distinct case when p = 'hv:hasPart' then o else s end node, case when p = 'hv:hasPart' then s else o end parent from rows
+      where p in ('hv:partOf', 'rdfs:subClassOf', 'hv:hasPart') and s is not null and o is not null)
+select node, parent, parent = min(parent) over (partition by node) kept from e qualify count(*) over (partition by node) > 1""",
         "p3_found": f"""
 with t as (select {nt("s")} s, {nt("p")} p, {nt("o")} o, asserted_at from triples),
 l as (select s, p, regexp_extract(o, '{LIT}', 1, 's') lex, asserted_at from t where s is not null and p is not null and regexp_matches(o, '{LIT}', 's')),

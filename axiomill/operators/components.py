@@ -6,7 +6,7 @@ the co-location of hierarchies.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from axiomill.operators.encode import encode, ordered_ids
@@ -32,13 +32,12 @@ def star_components(edges: DataFrame, ws: Workspace, max_rounds: int = 200) -> D
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         told = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = told.union(low.select("u", F.col("m").alias("v"))).distinct()
-        nxt = ws.save(small, f"star{k + 1}")
-        size, mark = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        seen = Observation()
+        cur = ws.save(small.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("mark")), f"star{k + 1}")
         ws.drop(f"large{k}", f"star{k}")
-        cur = nxt
-        if (size, mark) == before:
+        if seen.get == before:
             break
-        before = (size, mark)
+        before = seen.get
     else:
         raise RuntimeError(f"components still change after {max_rounds} rounds")
     return loops.join(cur, "u", "left").select("u", F.coalesce("v", "u").alias("root"))

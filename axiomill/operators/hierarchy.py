@@ -5,7 +5,7 @@ depth-first walk with node colours (white, grey, black) gives paths, depths and
 descendant counts and finds back edges, which are the cycles. A component of more
 than ``max_nodes`` nodes never goes to one task: it is resolved between tables, by
 doubling the pointers to ancestors, in as many rounds as the logarithm of its
-depth. Both ways give the same rows.
+depth, each of as many rows as there are nodes. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -118,36 +118,49 @@ def _double(nodes: DataFrame, ws: Workspace) -> DataFrame:
     bad = stuck.select("id").join(loop, "id", "left").join(names, "id")
     bad = bad.select("node", F.when(F.col("on"), "on_cycle").otherwise("under_cycle").alias("node_state"), F.lit("").alias("root_node"), F.lit(-1).cast("bigint").alias("node_depth"), F.lit("").alias("node_path"), F.lit(-1).cast("bigint").alias("n_desc"))
 
-    good = links.join(cur.where("top").select("id"), "id", "left_semi").join(names, "id")
-    cur = ws.save(good.select("id", "up", "top", F.col("node").alias("seg"), F.when(F.col("top"), 0).otherwise(1).cast("bigint").alias("d"), F.when(F.col("top"), F.array().cast("array<bigint>")).otherwise(F.array("up")).alias("anc")), "seg0")
+    # up: the ancestor 2^k steps up, null beyond the root; d nodes from seg's first to this one;
+    # n: descendants less than 2^k steps below, itself among them. Each round doubles all three.
+    good = nodes.join(cur.where("top").select("id"), "id", "left_semi")
+    cur = ws.save(good.select("id", F.col("pid").alias("up"), F.col("id").alias("head"), F.col("node").alias("seg"), F.lit(1).cast("bigint").alias("d"), F.lit(1).cast("bigint").alias("n")), "seg0")
     for k in range(rounds):
-        # done: the pointer's target is a root, and seg holds all below that root
-        far = cur.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("seg").alias("seg2"), F.col("d").alias("d2"), F.col("anc").alias("anc2"))
-        moved = cur.where("not top").join(far, "up").select(
+        if cur.where("up is not null").isEmpty():
+            break
+        far = cur.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("head").alias("head2"), F.col("seg").alias("seg2"), F.col("d").alias("d2"))
+        # what hangs below is added up before it is exchanged, so a node with many below it is one row a task
+        below = cur.where("up is not null").groupBy(F.col("up").alias("id")).agg(F.sum("n").alias("more"))
+        moved = cur.join(far, "up", "left").join(below, "id", "left").select(
             "id",
             F.col("up2").alias("up"),
-            F.col("top2").alias("top"),
-            F.concat_ws(">", "seg2", "seg").alias("seg"),
-            (F.col("d") + F.col("d2")).alias("d"),
-            F.concat("anc", "anc2").alias("anc"),
+            F.coalesce("head2", "head").alias("head"),
+            F.when(F.col("seg2").isNull(), F.col("seg")).otherwise(F.concat_ws(">", "seg2", "seg")).alias("seg"),
+            (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"),
+            (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"),
         )
-        cur = ws.save(cur.where("top").unionByName(moved), f"seg{k + 1}")
+        cur = ws.save(moved, f"seg{k + 1}")
         ws.drop(f"seg{k}")
-        if cur.where("not top").isEmpty():
-            break
-    below = cur.select(F.explode("anc").alias("id")).groupBy("id").agg(F.count("*").alias("n"))
-    roots = names.select(F.col("id").alias("up"), F.col("node").alias("root_node"))
-    tree = cur.join(names, "id").join(roots, "up").join(below, "id", "left")
-    tree = tree.select("node", F.lit("tree").alias("node_state"), "root_node", F.col("d").alias("node_depth"), F.col("seg").alias("node_path"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_desc"))
+    roots = names.select(F.col("id").alias("head"), F.col("node").alias("root_node"))
+    tree = cur.join(names, "id").join(roots, "head")
+    tree = tree.select("node", F.lit("tree").alias("node_state"), "root_node", (F.col("d") - 1).alias("node_depth"), F.col("seg").alias("node_path"), (F.col("n") - 1).alias("n_desc"))
     return tree.unionByName(bad)
 
 
+def parent_conflicts(links: DataFrame, child: str, parent: str) -> DataFrame:
+    """(node, parent, kept): the parents of every node that is given more than one, and which one ``hierarchy`` keeps.
+
+    A link with a null side is absent, repeated links count once. No links, or none in
+    conflict, give no rows. The parents of one node are combined before they are exchanged.
+    """
+    pairs = links.select(F.col(child).alias("node"), F.col(parent).alias("parent")).where("node is not null and parent is not null").distinct()
+    kept = pairs.groupBy("node").agg(F.min("parent").alias("least"), F.max("parent").alias("most")).where("least < most")
+    return pairs.join(kept.select("node", "least"), "node").select("node", "parent", (F.col("parent") == F.col("least")).alias("kept"))
+
+
 def hierarchy(links: DataFrame, child: str, parent: str, max_nodes: int = 200_000, ws: Workspace | None = None) -> DataFrame:
     """One row of SCHEMA per node of the links (child, parent).
 
     A link with a null side is absent, repeated links count once. A node given
-    several parents keeps the one that is smallest in byte order; a node that is its
-    own parent is a cycle of one. Children are counted as descendants once each. No
+    several parents keeps the one that is smallest in byte order, for its path as for who
+    it descends from (``parent_conflicts`` tells the others); a node that is its own parent is a cycle of one. Children are counted as descendants once each. No
     links give no rows; other columns are not read.
     """
     spark = links.sparkSession
