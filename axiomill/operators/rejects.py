@@ -83,23 +83,29 @@ def _valid(s, p, obj, dtype, lang) -> np.ndarray:
         vals = obj.take(pa.array(rows))
         good = like(vals, pattern)
         if kind == "xsd:int":
-            good[good] = [-(2**31) <= _int(x) < 2**31 for x in vals.filter(pa.array(good)).to_pylist()]
+            good[good] = _is_int(vals.filter(pa.array(good)))
         elif kind == "xsd:date":
-            good[good] = [_is_date(x) for x in vals.filter(pa.array(good)).to_pylist()]
+            good[good] = _is_date(vals.filter(pa.array(good)))
         ok[rows[~good]] = False
     return ok
 
 
-def _int(digits: str) -> int:
-    sign = -1 if digits[0] == "-" else 1
-    body = digits.lstrip("+-").lstrip("0")
-    return sign * (int(body or "0") if len(body) < 12 else 10**12)
+def _is_int(numbers: pa.Array) -> np.ndarray:
+    """Whether digits with an optional sign lie within 32 bits."""
+    body = pc.replace_substring_regex(numbers, r"\A[+-]?0*", "")
+    short = pc.less_equal(pc.binary_length(body), 10).to_numpy(zero_copy_only=False)
+    size = pc.cast(pc.replace_substring_regex(pc.if_else(pa.array(short), body, ""), r"\A\z", "0"), pa.int64()).to_numpy(zero_copy_only=False)
+    least = pc.starts_with(numbers, "-").to_numpy(zero_copy_only=False)
+    return short & (size < 2**31 + least)
 
 
-def _is_date(x: str) -> bool:
-    y, m, d = int(x[:4]), int(x[5:7]), int(x[8:])
-    leap = y % 4 == 0 and (y % 100 != 0 or y % 400 == 0)
-    return y > 0 and 1 <= m <= 12 and 1 <= d <= (31, 29 if leap else 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)[m - 1]
+def _is_date(dates: pa.Array) -> np.ndarray:
+    """Whether ``YYYY-MM-DD`` is a day of the calendar; there is no year 0."""
+    part = lambda a, b: pc.cast(pc.utf8_slice_codeunits(dates, a, b), pa.int64()).to_numpy(zero_copy_only=False)
+    y, m, d = part(0, 4), part(5, 7), part(8, 10)
+    days = np.array([0, 31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31])[np.where((m >= 1) & (m <= 12), m, 0)]
+    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+    return (y > 0) & (d >= 1) & (d <= days + (leap & (m == 2)))
 
 
 def parse_lines(lines: pa.Array) -> list[pa.Array]:

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from axiomill import core_queries as Q
 from axiomill.functions.terms import lexical, same_term, unescaped
 from axiomill.operators.components import components
-from axiomill.operators.hierarchy import hierarchy, walk
+from axiomill.operators.hierarchy import hierarchy, parent_conflicts, walk
 from axiomill.operators.pivot import widen
-from axiomill.operators.rejects import load_lines, parse_lines
-from axiomill.operators.skew import count_per_key, heavy_keys
+from axiomill.operators.rejects import _is_date, _is_int, load_lines, parse_lines
+from axiomill.operators.skew import count_per_key, heavy_keys, pairs_of
 from axiomill.operators.snapshots import chunked, snapshot_changes
 from axiomill.workspace import Workspace
 
@@ -253,3 +253,43 @@ def test_entry():
 
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q) and {f"p{n}_found" for n in (2, 3, 4, 5, 6)} <= set(q)
+
+
+def test_an_entity_that_holds_most_rows_of_a_key(spark):
+    """Nine of ten rows are of one key and entity: after the exchange no partition holds far more than another."""
+    data = spark.range(40_000).select(F.lit("hot").alias("p"), F.when(F.col("id") % 10 > 0, "hub").otherwise(F.concat(F.lit("e"), "id")).alias("s"), F.col("id").cast("string").alias("o"))
+    assert rows(count_per_key(data, "p", "s", "o")) == [("hot", 40_000, 4_001, 40_000)]
+    repeated = data.withColumn("o", F.lit("x"))
+    assert rows(count_per_key(repeated, "p", "s", "o")) == [("hot", 40_000, 4_001, 4_001)]
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        named = data.select(F.col("p").alias("k"), F.col("s").alias("e"), F.col("o").alias("v"))
+        sizes = sorted(r["count"] for r in pairs_of(named).groupBy(F.spark_partition_id().alias("part")).count().collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+    assert sizes[-1] <= 3 * sizes[len(sizes) // 2]
+
+
+# --- several parents (problem 2)
+
+
+@pytest.mark.parametrize("max_nodes", [1000, 1])
+def test_parents_in_conflict(spark, max_nodes):
+    """The smallest parent is kept, by both ways, and the others are told; deep and wide trees count the same."""
+    links = [("c", "b"), ("c", "a"), ("c", "a"), ("d", "c"), ("b", "r"), ("x", "x"), ("x", "a"), (None, "a"), ("a", None)]
+    links += [(f"n{k:03}", f"n{k - 1:03}") for k in range(1, 70)] + [(f"leaf{k:02}", "n035") for k in range(40)]
+    df = spark.createDataFrame(links, "c string, p string")
+    got = {r[0]: r[1:] for r in rows(hierarchy(df, "c", "p", max_nodes))}
+    assert got["c"] == ("tree", "a", 1, "a>c", 1) and got["a"][4] == 3 and got["r"] == ("tree", "r", 0, "r", 1) and got["x"][:2] == ("tree", "a")
+    assert got["n000"][4] == 69 + 40 and got["n036"][4] == 33 and got["leaf07"][2] == 36 and got["n069"][3].count(">") == 69
+    assert set(rows(parent_conflicts(df, "c", "p"))) == {("c", "a", True), ("c", "b", False), ("x", "a", True), ("x", "x", False)}
+    assert rows(parent_conflicts(df.limit(0), "c", "p")) == []
+
+
+def test_numbers_and_dates_at_their_bounds():
+    ints = ["2147483647", "2147483648", "-2147483648", "-2147483649", "+0002147483647", "0", "-0", "99999999999999999999", "00000000000000000000000007"]
+    assert _is_int(pa.array(ints)).tolist() == [True, False, True, False, True, True, True, False, True]
+    dates = ["2024-02-29", "2023-02-29", "1900-02-29", "2000-02-29", "2023-13-01", "2023-00-10", "2023-04-31", "2023-12-31", "0000-01-01", "2023-01-00"]
+    assert _is_date(pa.array(dates)).tolist() == [True, False, False, True, False, False, False, True, False, False]
+    assert _is_int(pa.array([], pa.string())).tolist() == [] == _is_date(pa.array([], pa.string())).tolist()
