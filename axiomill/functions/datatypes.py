@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from axiomill.sources.ntriples import unescape
 from axiomill.vocab import RDF, XSD
 
 LANG_STRING, XML_LITERAL = f"{RDF}langString", f"{RDF}XMLLiteral"
@@ -45,8 +46,7 @@ def xml_is_well_formed(text: str) -> bool:
 
 @F.pandas_udf(BooleanType())
 def xml_valid(lex: pd.Series) -> pd.Series:
-    plain = lex.str.replace(r'\\(["\\])', r"\1", regex=True)
-    return pd.Series([None if x is None else xml_is_well_formed(x) for x in plain], dtype=object)
+    return pd.Series([None if x is None else xml_is_well_formed(unescape(x)) for x in lex], dtype=object)
 
 
 def well_formed_but_xml(lex: Column, datatype: Column) -> Column:

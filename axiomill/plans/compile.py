@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axiomill.plans.rules import AXIOM_CLASSES, AXIOM_PREDICATES, CLASH_CLASSES, Pattern, Rule
+from axiomill.plans.rules import AXIOM_CLASSES, AXIOM_PREDICATES, CLASH_CLASSES, CLASH_PREDICATES, Pattern, Rule
 from axiomill.vocab import FIRST, MEMBER, REST, TYPE
 
 BROADCAST_ROWS = 100_000  # an axiom table is sent to all tasks up to this many rows, by exact count
@@ -40,7 +40,7 @@ class Counts:
         return Counts({k: self.by.get(k, 0) + other.by.get(k, 0) for k in keys}, self.total + other.total)
 
 
-COUNTED = frozenset({*AXIOM_PREDICATES, MEMBER, FIRST, REST})
+COUNTED = frozenset({*AXIOM_PREDICATES, *CLASH_PREDICATES, MEMBER, FIRST, REST})
 
 
 def count_axioms(t: DataFrame) -> Counts:
@@ -188,16 +188,16 @@ def axiom_rows(rules: list[Rule], r: Relations, newest: bool) -> DataFrame | Non
     return rows.distinct()
 
 
-def follow(facts: DataFrame, axioms: DataFrame, small: bool) -> list[DataFrame]:
-    """What the axioms say of the facts: one scan by predicate, one of the types by class."""
-    send = F.broadcast if small else lambda df: df
+def follow(facts: DataFrame, axioms: DataFrame, few_p: bool, few_c: bool) -> list[DataFrame]:
+    """What the axioms say of the facts: one scan by predicate, one of the types by class; axioms of either kind are broadcast where they are few."""
+    send = lambda df, few: F.broadcast(df) if few else df
     by_p, by_c = axioms.where(F.col("shape") != CLASS_OF), axioms.where(F.col("shape") == CLASS_OF)
-    j = facts.join(send(by_p), F.col("p") == F.col("k"))
+    j = facts.join(send(by_p, few_p), F.col("p") == F.col("k"))
     shape = F.col("shape")
     said = j.select(
         F.when(shape.isin(BACKWARD, OBJECT), F.col("o")).otherwise(F.col("s")).alias("s"),
         F.when(shape.isin(FORWARD, BACKWARD), F.col("q")).otherwise(F.lit(TYPE)).alias("p"),
         F.when(shape == FORWARD, F.col("o")).when(shape == BACKWARD, F.col("s")).otherwise(F.col("q")).alias("o"),
     )
-    types = facts.where(F.col("p") == TYPE).join(send(by_c), F.col("o") == F.col("k"))
+    types = facts.where(F.col("p") == TYPE).join(send(by_c, few_c), F.col("o") == F.col("k"))
     return [said, types.select("s", F.lit(TYPE).alias("p"), F.col("q").alias("o"))]

@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from axiomill.functions.datatypes import XML_LITERAL, in_space, literal_parts, well_formed_but_xml, xml_valid
-from axiomill.plans.compile import Counts, count_axioms, join_body
+from axiomill.plans.compile import BROADCAST_ROWS, Counts, count_axioms, join_body
 from axiomill.vocab import NOTHING, TYPE, owl, rdfs
 
 SCHEMA = "code string, rule string, severity string, message string, s string, p string, o string, extra string"
+# fixed values: users match on these codes and on the messages below
 CODES = {
     "cax-dw": "OWLRL.CAX_DW",
     "prp-pdw": "OWLRL.PRP_PDW",
@@ -57,10 +58,10 @@ def _datatypes(t: DataFrame) -> DataFrame:
     return _row(bad, "rdfs-datatype", _says("ill-formed literal {o} used in triple {s} {p} {o}"), ("s", "p", "o", None))
 
 
-def _ranges(t: DataFrame, mode: str) -> DataFrame:
+def _ranges(t: DataFrame, mode: str, few: bool) -> DataFrame:
     ranges = t.where((F.col("p") == rdfs("range")) & F.col("o").startswith("<")).select(F.col("s").alias("p"), F.expr("substring(o, 2, length(o) - 2)").alias("r")).distinct()
     _, _, dt = literal_parts(F.col("o"))
-    j = t.join(ranges, "p")
+    j = t.join(F.broadcast(ranges) if few else ranges, "p")
     ok = in_space(F.col("o"), dt, F.col("r"))
     if mode == "compat":  # there, any object that is no literal lies outside any range
         ok = F.when(~F.col("o").startswith('"'), F.lit(False)).otherwise(ok)
@@ -68,8 +69,8 @@ def _ranges(t: DataFrame, mode: str) -> DataFrame:
     return _row(bad, "rdfs-datatype-range", _says("range clash: object {o} is not in datatype {r} for predicate {p}"), ("s", "p", "o", "r"))
 
 
-def diagnostics(t: DataFrame, rules=None, mode: str = "spec", counts: Counts | None = None) -> DataFrame:
-    """SCHEMA rows of a closure (s, p, o), once per code and message.
+def diagnostics(t: DataFrame, rules=None, mode: str = "spec", counts: Counts | None = None, dedupe: bool = True) -> DataFrame:
+    """SCHEMA rows of a closure (s, p, o), once per code and message, or with ``dedupe=False`` once per finding.
 
     Mode ``compat`` reports what engines of this profile do: nothing for cls-com, and a
     range clash for every IRI or blank node under a range.
@@ -86,11 +87,13 @@ def diagnostics(t: DataFrame, rules=None, mode: str = "spec", counts: Counts | N
     if rules is None or "rdfs-datatype" in rules:
         out.append(_datatypes(t))
     if (rules is None or "rdfs-datatype-range" in rules) and counts.by.get((rdfs("range"), None)):
-        out.append(_ranges(t, mode))
+        out.append(_ranges(t, mode, counts.by[rdfs("range"), None] <= BROADCAST_ROWS))
     if not out:
         return t.sparkSession.createDataFrame([], SCHEMA)
     all_ = out[0]
     for d in out[1:]:
         all_ = all_.unionByName(d)
+    if not dedupe:
+        return all_
     firsts = [F.min(F.struct("s", "p", "o", "extra")).alias("x")]
     return all_.groupBy("code", "rule", "severity", "message").agg(*firsts).select("code", "rule", "severity", "message", "x.*")

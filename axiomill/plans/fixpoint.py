@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 
 from axiomill.operators.bitset import bits_of, may_be_in
 from axiomill.operators.components import components
-from axiomill.plans.compile import BROADCAST_ROWS, Counts, Relations, axiom_rows, count_axioms, follow, shape_of, variants
+from axiomill.plans.compile import BROADCAST_ROWS, CLASS_OF, Counts, Relations, axiom_rows, count_axioms, follow, shape_of, variants
 from axiomill.plans.lists import list_members
-from axiomill.plans.rules import AXIOM_CLASSES, AXIOM_PREDICATES, CLASH_CLASSES, EQUALITY, IFP_COMPAT, INT1, RULES
+from axiomill.plans.rules import AXIOM_CLASSES, AXIOM_PREDICATES, CLASH_CLASSES, CLASH_PREDICATES, EQUALITY, IFP_COMPAT, INT1, RULES
 from axiomill.vocab import FIRST, MEMBER, NIL, RDF, REST, SAME, SEEDS, THING, TYPE, owl, rdf, rdfs
 from axiomill.workspace import Workspace
 
 TRIPLE = "s string, p string, o string"
-INTERSECTION = owl("intersectionOf")
+INTERSECTION, UNION = owl("intersectionOf"), owl("unionOf")
 FILTER_ROWS = 2_000_000  # a closure beyond this is filtered before it is joined with what was found
 # terms that rules name; one of them always stands for its class of equal terms
-NAMED = (*AXIOM_PREDICATES, *AXIOM_CLASSES, *CLASH_CLASSES, TYPE, THING, FIRST, REST, NIL)
+NAMED = (*AXIOM_PREDICATES, *CLASH_PREDICATES, *AXIOM_CLASSES, *CLASH_CLASSES, TYPE, THING, FIRST, REST, NIL)
 
 
 def triple_frame(spark, rows: Iterable[tuple[str, str, str]]) -> DataFrame:
@@ -185,10 +185,11 @@ class Closure:
             self.axioms = None
         if self.axioms is None:
             return []
-        small = self.axioms.count() <= BROADCAST_ROWS
-        heads = follow(rel.new, self.axioms, small)
+        n = {r["c"]: r["count"] for r in self.axioms.groupBy((F.col("shape") == CLASS_OF).alias("c")).count().collect()}
+        few = [n.get(c, 0) <= BROADCAST_ROWS for c in (False, True)]
+        heads = follow(rel.new, self.axioms, *few)
         if fresh is not None and not rel.everything and not fresh.isEmpty():
-            heads += follow(rel.all_, fresh, small)
+            heads += follow(rel.all_, fresh, *few)
         return heads
 
     def add(self, base: DataFrame) -> int:
@@ -217,11 +218,13 @@ class Closure:
             if self.by_class and c_new.by.get((SAME, None)) and not new.where((F.col("p") == SAME) & (F.col("s") != F.col("o"))).isEmpty():
                 new, c_new = self._merge(all_, new, first)
                 all_, merged = (new if first else self._read_all()), True
-            lists_changed = bool(c_new.by.get((FIRST, None)) or c_new.by.get((REST, None)) or merged) and (self.mode == "spec" or lists_once)
+            named = c_new.by.get((INTERSECTION, None)) or c_new.by.get((UNION, None))
+            lists_changed = bool(c_new.by.get((FIRST, None)) or c_new.by.get((REST, None)) or merged) and (self.mode == "spec" or lists_once) or bool(named)
             new_members = triple_frame(self.spark, [])
             n_before = self.counts.by.get((MEMBER, None), 0)
             if lists_changed and {"cls-int2", "cls-uni", INT1} & (self.names if self.names is not None else {INT1}):
-                now = list_members(all_, self.ws, self.mode, f"members{self.rounds}")
+                heads = all_.where(F.col("p").isin(INTERSECTION, UNION)).select("o")
+                now = list_members(all_, self.ws, self.mode, f"members{self.rounds}", heads)
                 new_members = now.join(self.members, ["s", "p", "o"], "left_anti") if n_before else now
                 c_new.by[MEMBER, None] = new_members.count()
                 self.members = now

@@ -80,4 +80,5 @@ ALL = frozenset(r.name for r in RULES) | {INT1, "rdfs12", "cls-thing", "cls-noth
 # predicates and classes whose rows are counted each round, to know which rules can fire and what may be broadcast
 AXIOM_PREDICATES = tuple(v for k, v in TERMS.items() if k in {"sub", "subp", "domain", "range", "eqc", "eqp", "inverse", "hasValue", "onProperty", "all", "some", "intersection", "union", "same"})
 AXIOM_CLASSES = tuple(TERMS[k] for k in ("Functional", "InverseFunctional", "Symmetric", "Transitive"))
+CLASH_PREDICATES = (owl("disjointWith"), owl("propertyDisjointWith"), owl("complementOf"))
 CLASH_CLASSES = (owl("IrreflexiveProperty"), owl("AsymmetricProperty"), NOTHING)

@@ -1,5 +1,6 @@
 """IRIs of the W3C vocabularies, as canonical N-Triples terms."""
 
+# fixed values: the namespaces of the W3C
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 RDFS = "http://www.w3.org/2000/01/rdf-schema#"
 OWL = "http://www.w3.org/2002/07/owl#"
