@@ -48,7 +48,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         shown = shown.limit(args.max_diagnostics) if args.max_diagnostics is not None else shown
         rows = ({k: x[k] for k in FIELDS} for x in shown.toLocalIterator())
         if args.error_format == "json":
-            print(json.dumps(list(rows), ensure_ascii=False))
+            print("[", end="")
+            for k, d in enumerate(rows):
+                print(", " if k else "", json.dumps(d, ensure_ascii=False), sep="", end="")
+            print("]")
         else:
             for d in rows:
                 print(json.dumps(d, ensure_ascii=False) if args.error_format == "ndjson" else f"{d['code']} {d['rule']}: {d['message']}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -13,7 +14,7 @@ from axiomill.plans.compile import BROADCAST_ROWS, CLASS_OF, Counts, Relations,
 from axiomill.plans.lists import list_members
 from axiomill.plans.rules import AXIOM_CLASSES, AXIOM_PREDICATES, CLASH_CLASSES, CLASH_PREDICATES, EQUALITY, IFP_COMPAT, INT1, RULES
 from axiomill.vocab import FIRST, MEMBER, NIL, RDF, REST, SAME, SEEDS, THING, TYPE, owl, rdf, rdfs
-from axiomill.workspace import Workspace
+from axiomill.workspace import Workspace, list_names, read_text, write_text
 
 TRIPLE = "s string, p string, o string"
 INTERSECTION, UNION = owl("intersectionOf"), owl("unionOf")
@@ -89,19 +90,21 @@ class Closure:
     other, so a class of n equal terms has n x n pairs and n copies of its facts.
     ``classes`` keeps one term for each class, found by connected components, rewrites
     the triples to those terms whenever classes merge, and spells the copies out only
-    in ``output``; ``compact`` gives the triples and classes without the copies.
+    in ``output``; ``compact`` gives the triples and classes without the copies. By default
+    ``classes`` is taken where all eq- rules run, and given up for ``rules`` if two terms that
+    the rules name turn out to be the same, which only those can hold.
+
+    With a workspace that stays, ``commit`` writes down where the closure stands, and
+    ``Closure.open`` goes on from there in another session.
     """
 
-    def __init__(self, spark, rules: Iterable[str] | None = None, mode: str = "spec", ws: Workspace | None = None, max_rounds: int = 10_000, equality: str = "rules", filter_rows: int = FILTER_ROWS):
+    def __init__(self, spark, rules: Iterable[str] | None = None, mode: str = "spec", ws: Workspace | None = None, max_rounds: int = 10_000, equality: str | None = None, filter_rows: int = FILTER_ROWS):
         self.filter_rows = filter_rows
         self.spark, self.mode, self.max_rounds = spark, mode, max_rounds
         self.ws = ws or Workspace(spark)
         self.names = None if rules is None else frozenset(rules)
-        pick = lambda r: self.names is None or r.name in self.names
-        self.by_class = equality == "classes"
-        self.rules = [IFP_COMPAT if mode == "compat" and r.name == "prp-ifp" else r for r in RULES if pick(r) and not (self.by_class and r.name in EQUALITY)]
-        self.of_one_fact = [r for r in self.rules if shape_of(r)]
-        self.of_more = [r for r in self.rules if not shape_of(r) and not (self.by_class and r.name in FUNCTIONAL)]
+        self.may_change = equality is None
+        self._pick_rules(equality == "classes" or (equality is None and (self.names is None or self.names >= EQUALITY)))
         self.axioms: DataFrame | None = None  # see compile.axiom_rows
         self.counts = Counts()
         self.parts: list[str] = []
@@ -109,6 +112,43 @@ class Closure:
         self.members = triple_frame(spark, [])
         self.classes: DataFrame | None = None  # (term, rep)
         self.rounds = 0
+        self.tables: dict[str, str] = {}  # where members, axioms and classes stand
+        self.marks: dict[str, int] = {}  # what a caller wants to find again
+        self.committed = 0
+
+    def _pick_rules(self, by_class: bool) -> None:
+        pick = lambda r: self.names is None or r.name in self.names
+        self.by_class = by_class
+        self.rules = [IFP_COMPAT if self.mode == "compat" and r.name == "prp-ifp" else r for r in RULES if pick(r) and not (by_class and r.name in EQUALITY)]
+        self.of_one_fact = [r for r in self.rules if shape_of(r)]
+        self.of_more = [r for r in self.rules if not shape_of(r) and not (by_class and r.name in FUNCTIONAL)]
+
+    def commit(self) -> None:
+        """Writes down where the closure stands; the file is written last, so what was broken off before is as if it had not been."""
+        counts = [[p, k, n] for (p, k), n in self.counts.by.items()]
+        state = {"names": None if self.names is None else sorted(self.names), "mode": self.mode, "by_class": self.by_class, "may_change": self.may_change, "parts": self.parts, "saved": self.saved, "rounds": self.rounds, "tables": self.tables, "marks": self.marks, "counts": counts, "total": self.counts.total}
+        old = [n for n in list_names(self.spark, self.ws.root) if n.startswith("closure-")]
+        self.committed += 1
+        write_text(self.spark, self.ws.path(f"closure-{self.committed:09}.json"), json.dumps(state))
+        self.ws.drop(*old)
+
+    @classmethod
+    def open(cls, spark, root: str, **kw) -> Closure:
+        """The closure that was last committed in a folder, or an empty one that will be; arguments are those of a new one."""
+        ws = Workspace(spark, root, keep=True)
+        c = cls(spark, ws=ws, **kw)
+        saved = sorted(n for n in list_names(spark, root) if n.startswith("closure-"))
+        if saved:
+            state = json.loads(read_text(spark, ws.path(saved[-1])))
+            c.committed = int(saved[-1][8:17])
+            c.names = None if state["names"] is None else frozenset(state["names"])
+            c.mode, c.may_change, c.parts, c.saved, c.rounds, c.tables, c.marks = (state[k] for k in ("mode", "may_change", "parts", "saved", "rounds", "tables", "marks"))
+            c._pick_rules(state["by_class"])
+            c.counts = Counts({(p, k): n for p, k, n in state["counts"]}, state["total"])
+            read = lambda name, schema: ws.read(c.tables[name], schema) if name in c.tables else None
+            c.axioms, c.classes = read("axioms", "shape string, k string, q string"), read("classes", "term string, rep string")
+            c.members = read("members", TRIPLE) if "members" in c.tables else c.members
+        return c
 
     def uses(self, name: str) -> bool:
         return self.names is None or name in self.names
@@ -140,18 +180,32 @@ class Closure:
             t = t.join(side, t[c] == F.col("__t"), "left").withColumn(c, F.coalesce("__r", c)).select("s", "p", "o")
         return t.distinct()
 
-    def _merge(self, all_: DataFrame, new: DataFrame, first: bool) -> tuple[DataFrame, Counts]:
-        """Classes after new equalities, all triples rewritten to them; returns what rules have not seen yet."""
+    def _by_rules(self) -> tuple[DataFrame, Counts]:
+        """Spells the classes out and lets the eq- rules hold equality from here on; all triples count as new to them."""
+        whole, name = self._save(self.triples())
+        self.parts, self.classes = [name], None
+        self.tables.pop("classes", None)
+        self._pick_rules(False)
+        members = self.counts.by.get((MEMBER, None), 0)
+        self.counts = count_axioms(whole)
+        self.counts.by[MEMBER, None] = members
+        return whole, count_axioms(whole)
+
+    def _merge(self, all_: DataFrame, new: DataFrame, first: bool) -> tuple[DataFrame, Counts] | None:
+        """Classes after new equalities, all triples rewritten to them; returns what rules have not seen yet, None if classes cannot hold them."""
         pairs = all_.where(F.col("p") == SAME).select(F.col("s").alias("a"), F.col("o").alias("b"))
         if self.classes is not None:
             pairs = pairs.unionByName(self.classes.select(F.col("term").alias("a"), F.col("rep").alias("b")))
         found = components(pairs, "a", "b", Workspace(self.spark, self.ws.root))
         named = found.where(F.col("term").isin(*NAMED)).groupBy("root").agg(F.min("term").alias("named"), F.count("*").alias("n"))
         if not named.where("n > 1").isEmpty():
+            if self.may_change:
+                return None
             raise ValueError("two terms that the rules name are stated to be the same; equality by rules can hold that, classes cannot")
         self.saved += 1
         rep = found.join(named, "root", "left").select("term", F.coalesce("named", "root").alias("rep"))
-        self.classes = self.ws.save(rep, f"classes{self.saved}")
+        self.tables["classes"] = f"classes{self.saved}"
+        self.classes = self.ws.save(rep, self.tables["classes"])
         whole, name = self._save(self._rewrite(all_))
         fresh = whole if first else self._save(self._rewrite(new).unionByName(whole.join(all_, ["s", "p", "o"], "left_anti")).distinct())[0]
         self.parts = [name]
@@ -176,13 +230,16 @@ class Closure:
         if found is not None:
             self.saved += 1
             fresh = self.ws.save(found, f"axioms{self.saved}")
+            self.tables["axioms"] = f"axioms{self.saved}"
             if self.axioms is None or anew:
                 self.axioms = fresh
             else:
+                self.tables["axioms"] += "a"
                 fresh = self.ws.save(fresh.join(self.axioms, ["shape", "k", "q"], "left_anti"), f"axioms{self.saved}n")
                 self.axioms = self.ws.save(self.axioms.unionByName(fresh), f"axioms{self.saved}a")
         elif anew:
             self.axioms = None
+            self.tables.pop("axioms", None)
         if self.axioms is None:
             return []
         n = {r["c"]: r["count"] for r in self.axioms.groupBy((F.col("shape") == CLASS_OF).alias("c")).count().collect()}
@@ -216,7 +273,9 @@ class Closure:
             all_ = new if first else self._read_all()
             merged = False
             if self.by_class and c_new.by.get((SAME, None)) and not new.where((F.col("p") == SAME) & (F.col("s") != F.col("o"))).isEmpty():
-                new, c_new = self._merge(all_, new, first)
+                seen = self._merge(all_, new, first)
+                first = first or seen is None
+                new, c_new = seen or self._by_rules()
                 all_, merged = (new if first else self._read_all()), True
             named = c_new.by.get((INTERSECTION, None)) or c_new.by.get((UNION, None))
             lists_changed = bool(c_new.by.get((FIRST, None)) or c_new.by.get((REST, None)) or merged) and (self.mode == "spec" or lists_once) or bool(named)
@@ -224,7 +283,8 @@ class Closure:
             n_before = self.counts.by.get((MEMBER, None), 0)
             if lists_changed and {"cls-int2", "cls-uni", INT1} & (self.names if self.names is not None else {INT1}):
                 heads = all_.where(F.col("p").isin(INTERSECTION, UNION)).select("o")
-                now = list_members(all_, self.ws, self.mode, f"members{self.rounds}", heads)
+                self.tables["members"] = f"members{self.rounds}"
+                now = list_members(all_, self.ws, self.mode, self.tables["members"], heads)
                 new_members = now.join(self.members, ["s", "p", "o"], "left_anti") if n_before else now
                 c_new.by[MEMBER, None] = new_members.count()
                 self.members = now
@@ -264,7 +324,7 @@ class Closure:
         return self.triples().where(~F.col("s").startswith('"') & F.col("p").startswith("<"))
 
 
-def closure(triples: DataFrame, rules: Iterable[str] | None = None, mode: str = "spec", equality: str = "rules") -> DataFrame:
+def closure(triples: DataFrame, rules: Iterable[str] | None = None, mode: str = "spec", equality: str | None = None) -> DataFrame:
     """(s, p, o): the deductive closure, under all rules or a subset of their names."""
     c = Closure(triples.sparkSession, rules, mode, equality=equality)
     c.add(triples)

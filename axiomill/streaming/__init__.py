@@ -14,17 +14,26 @@ from axiomill.plans.fixpoint import Closure
 
 
 class StreamingClosure:
-    """A closure that follows a streaming frame (s, p, o)."""
+    """A closure that follows a streaming frame (s, p, o).
+
+    The closure is committed after each batch with the batch's number. To go on after a
+    stop, open the same closure (``Closure.open``) and start on the same checkpoint: a batch
+    that was committed is passed over, one that was broken off is added again.
+    """
 
     def __init__(self, closure: Closure):
         self.closure = closure
-        self.last_batch = -1
+
+    @property
+    def last_batch(self) -> int:
+        return self.closure.marks.get("batch", -1)
 
     def _take(self, batch: DataFrame, batch_id: int) -> None:
         if batch_id <= self.last_batch:
             return
         self.closure.add(batch.select("s", "p", "o"))
-        self.last_batch = batch_id
+        self.closure.marks["batch"] = batch_id
+        self.closure.commit()
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         writer: DataStreamWriter = stream.writeStream.foreachBatch(self._take).option("checkpointLocation", checkpoint)

@@ -62,6 +62,22 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         raise OSError(f"cannot write {path}")
 
 
+def join_files(spark: SparkSession, folder: str, path: str) -> None:
+    """The part files of a folder one after another in a local file; bytes are streamed, no row passes through Python."""
+    jvm = spark.sparkContext._jvm
+    out = jvm.java.io.FileOutputStream(path)
+    try:
+        for name in sorted(n for n in list_names(spark, folder) if n.startswith("part-")):
+            fs, p = _at(spark, f"{folder}/{name}")
+            part = fs.open(p)
+            try:
+                jvm.org.apache.commons.io.IOUtils.copyLarge(part, out)
+            finally:
+                part.close()
+    finally:
+        out.close()
+
+
 class Workspace:
     """Named Parquet tables of one operator run; ``drop`` frees those no longer read.
 

@@ -141,6 +141,55 @@ def test_command_line(spark, tmp_path, capsys):
     assert capsys.readouterr().out == ""
 
 
+def test_a_stream_goes_on_after_a_stop(spark, tmp_path):
+    """Half of the files, a stop, new objects on the same folders, the other half: the full closure."""
+    schema = "s string, p string, o string"
+
+    def run(n):
+        triple_frame(spark, [(u(f"x{n}{k}"), TYPE, u("B")) for k in range(10)]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        c = Closure.open(spark, str(tmp_path / "closure"), rules=["cax-sco"])
+        if not c.parts:
+            c.add(triple_frame(spark, [SUB]))
+        s = StreamingClosure(c)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        s.start(stream, str(tmp_path / "at"), availableNow=True).awaitTermination()
+        return c
+
+    run(0)
+    c = run(1)
+    assert c.marks == {"batch": 1} and sum(1 for _, p, o in rows(c.output()) if (p, o) == (TYPE, u("A"))) == 20
+    again = Closure.open(spark, str(tmp_path / "closure"))
+    assert rows(again.output()) == rows(c.output()) and again.counts == c.counts
+    again.add(triple_frame(spark, [(u("late"), TYPE, u("B"))]))
+    assert (u("late"), TYPE, u("A")) in rows(again.output())
+
+
+def test_a_session_goes_on_in_its_folder(spark, tmp_path):
+    at = str(tmp_path / "session")
+    one = Reasoner(spark, folder=at)
+    one.load_triples(triple_frame(spark, [SUB, (u("x"), TYPE, u("B")), (u("x"), owl("sameAs"), u("z")), (u("C"), owl("unionOf"), u("l")), (u("l"), "<http://www.w3.org/1999/02/22-rdf-syntax-ns#first>", u("A"))]))
+    one.reason()
+    one.load_triples(triple_frame(spark, [(u("y"), TYPE, u("B"))]))
+    two = Reasoner(spark, folder=at)  # what was loaded and not reasoned over is still to come
+    assert (u("z"), TYPE, u("C")) in rows(two.get_triples()) and (u("y"), TYPE, u("A")) not in rows(two.get_triples())
+    assert {(u("y"), TYPE, u("A")), (u("y"), TYPE, u("C"))} <= rows(two.reason())
+    three = Reasoner(spark, folder=at)
+    assert rows(three.get_triples()) == rows(two.get_triples())
+    assert three.set_base_triples(triple_frame(spark, [SUB])) is True
+    assert (u("y"), TYPE, u("A")) not in rows(Reasoner(spark, folder=at).reason())
+
+
+def test_equal_terms_that_rules_name(spark):
+    """Classes cannot hold them; by default the rules of equality take over, with the same closure."""
+    graph = [(u("a"), owl("sameAs"), u("b")), (u("a"), u("p"), u("c")), (rdfs("subClassOf"), owl("sameAs"), TYPE), (u("x"), TYPE, u("B"))]
+    by_rules = Closure(spark, equality="rules")
+    by_rules.add(triple_frame(spark, graph))
+    other = Closure(spark)
+    other.add(triple_frame(spark, graph[:2]))
+    other.add(triple_frame(spark, graph[2:]))
+    assert rows(other.output()) == rows(by_rules.output()) and not other.by_class
+
+
 def test_stream(spark, tmp_path):
     triple_frame(spark, [(u(f"x{k}"), TYPE, u("B")) for k in range(20)]).repartition(4).write.parquet(str(tmp_path / "in"))
     c = Closure(spark, ["cax-sco"])
