@@ -2,8 +2,7 @@
 
 Word trigrams are counted inside all texts and at their ends. The last trigrams of
 a text, at distance 0 to 5 words from its end, are joined to those counts: one
-that is frequent inside texts but that almost no other text has at that distance
-from its end shows a cut; one that many texts have there shows a text that merely
+of which almost no occurrence is an end, by share and by the upper confidence bound of that share, shows a cut; one that many texts have there shows a text that merely
 ends. Digits count as one sign, so figures do not split the counts, and ends are
 counted once a family, so copies of one text prove nothing.
 
@@ -20,18 +19,19 @@ more families have than its neighbours do, above it above all, is a limit of tha
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from axiomill.workspace import Workspace
 
 DEPTH = 6  # last trigrams looked at
-FREQUENT = 150  # occurrences inside texts from which an absence at ends says something
-CERTAIN = 400  # from which the very last trigram decides alone
 RARE, USUAL = 0.0015, 0.004  # share of occurrences that are ends: at most of a cut, at least of a usual end
+# of a cut, what that share may be at the most by the upper bound of its 95 % confidence interval; and where the very last trigram decides alone
+RARE_BOUND, CERTAIN_BOUND = 0.02, 0.0075
 SPIKE = 8  # times the mean of its neighbours, from which a length is a limit
 LEAST_SHARE = 0.01  # of a source's families that must have the length of a limit
 OF_HIGHEST = 0.2  # a spike below this share of its source's highest is that one's shadow in the other unit
-SLOTS = 1 << 17  # words of 64 bits of the filter of last trigrams
+MOST_SLOTS = 1 << 20  # words of 64 bits that the filter of last trigrams has at the most; it has 16 bits a trigram up to there
 
 # runs of letters; of other signs the per cent sign alone is kept, as it stands for a unit: figures go, so they split no counts
 TOKENS = r"split(trim(regexp_replace(lower({text}), '[\\x00-\\x24\\x26-\\x60\\x7B-\\x7F\\u00A0\\u2000-\\u206F]+', ' ')), ' ')"
@@ -65,26 +65,29 @@ with e as (
 select doc_id, src, fam, m, x.d, x.tri, xxhash64(b1, b2) as bi from e
 """
 
-# which trigrams are last ones somewhere: one bit each, in a list of fixed size
-BITS = f"""
+# which trigrams are last ones somewhere: one bit each, in a list as long as there are trigrams
+BITS = """
 with b as (
-  select pmod(tri, {SLOTS * 64}) as h from {{last}} group by 1
-  union all select pmod(bi, {SLOTS * 64}) from {{last}} group by 1),
+  select pmod(tri, {slots} * 64) as h from {{last}} group by 1
+  union all select pmod(bi, {slots} * 64) from {{last}} group by 1),
 s as (
   select cast(h div 64 as int) as slot, bit_or(shiftleft(1L, cast(h % 64 as int))) as bits from b group by 1
-  union all select explode(sequence(0, {SLOTS - 1})), 0L)
+  union all select explode(sequence(0, {slots} - 1)), 0L)
 select transform(sort_array(collect_list(struct(slot, bits))), x -> x.bits) as bits from (select slot, bit_or(bits) as bits from s group by slot)
 """
 
 INSIDE_COUNTS = f"""
-with w as (select coalesce(source, '') as src, {TOKENS.format(text="text")} as w from {{documents}} where doc_id is not null and text is not null),
+with w as (select coalesce(source, '') as src, {TOKENS.format(text="text")} as w from {{{{documents}}}} where doc_id is not null and text is not null),
 x as (select src, explode(arrays_zip(a, b, c)) as x from (select src, w as a, slice(w, 2, size(w)) as b, slice(w, 3, size(w)) as c from w where size(w) >= 3)),
 g as (select src, explode(array(xxhash64(x.a, x.b, x.c), xxhash64(x.a, x.b))) as g from x where x.c is not null)
 select src, g, count(*) as n from g
-where getbit((select bits from {{bits}})[cast(pmod(g, {SLOTS * 64}) div 64 as int)], cast(pmod(g, {SLOTS * 64}) % 64 as int)) = 1
+where getbit((select bits from {{{{bits}}}})[cast(pmod(g, {{slots}} * 64) div 64 as int)], cast(pmod(g, {{slots}} * 64) % 64 as int)) = 1
 group by src, g
 """
 
+# a trigram is no end: the share of its occurrences that are ends is low, and so many were seen that it can't be high
+# (t ends seen, its upper bound by the normal approximation of the Poisson distribution; 3.0 where none was)
+NO_END = f"t <= {RARE} * n and t + 1.3 + 1.7 * sqrt(t + 1) <= {{bound}} * n"
 USUAL_END = f"(near >= 3 and near >= {USUAL} * n)"
 USUAL_IN_SOURCE = "(ts >= 1 and ns >= 10 and ts >= 0.02 * ns)"
 EVIDENCE = f"""
@@ -104,11 +107,11 @@ j as (
   join at_src a on a.src = l.src and a.tri = l.tri and a.d = l.d),
 k as (
   select doc_id,
-    bool_or(n >= {FREQUENT} and t <= {RARE} * n) as rare_end,
-    bool_or(d = 0 and n >= {CERTAIN} and t <= {RARE} * n) as certain,
+    bool_or({NO_END.format(bound=RARE_BOUND)}) as rare_end,
+    bool_or(d = 0 and {NO_END.format(bound=CERTAIN_BOUND)}) as certain,
     bool_or(d < m and {USUAL_END}) as usual,
     bool_or(d < m and {USUAL_IN_SOURCE}) as usual_in_source,
-    bool_or(m < {WHOLE} and d = 0 and n >= {FREQUENT} and t <= {RARE} * n and not {USUAL_END} and not {USUAL_IN_SOURCE}) as unfinished
+    bool_or(m < {WHOLE} and d = 0 and {NO_END.format(bound=RARE_BOUND)} and not {USUAL_END} and not {USUAL_IN_SOURCE}) as unfinished
   from j group by doc_id),
 bi_end as (select bi, count(distinct fam) as t from {{last}} where d = 0 group by bi),
 b as (
@@ -164,9 +167,11 @@ def cut_documents(documents: DataFrame, ws: Workspace | None = None) -> DataFram
     ws = ws or Workspace(spark)
     documents = documents.select("doc_id", "source", "family_id", "text")
     facts = ws.save(spark.sql(FACTS, documents=documents), "facts")
-    last = ws.save(spark.sql(LAST, facts=facts), "last")
-    bits = ws.save(spark.sql(BITS, last=last), "bits")
-    inside = ws.save(spark.sql(INSIDE_COUNTS, documents=documents, bits=bits), "inside")
+    seen = Observation()
+    last = ws.save(spark.sql(LAST, facts=facts).observe(seen, F.count("*").alias("n")), "last")
+    slots = min(MOST_SLOTS, 1 << max(10, (seen.get["n"] * 16 // 64).bit_length()))
+    bits = ws.save(spark.sql(BITS.format(slots=slots), last=last), "bits")
+    inside = ws.save(spark.sql(INSIDE_COUNTS.format(slots=slots), documents=documents, bits=bits), "inside")
     limits = ws.save(spark.sql(LIMITS, facts=facts), "limits")
     parts = [
         spark.sql(EVIDENCE, last=last, inside=inside),
