@@ -3,11 +3,14 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from axiomill.plans.diagnostics import diagnostics
 from axiomill.plans.fixpoint import Closure, triple_frame
+from axiomill.plans.lists import list_members
 from axiomill.plans.rules import IFP_COMPAT, RULES
 from axiomill.vocab import CLASS, FIRST, MEMBER, NIL, NOTHING, RDF, REST, SAME, THING, TYPE, owl, rdf, rdfs, xsd
+from axiomill.workspace import Workspace
 
 
 def u(x):
@@ -98,6 +101,15 @@ def test_list_that_runs_into_itself(spark):
     assert (X, TYPE, I) in close(spark, rows, rules=["cls-uni"])
 
 
+def test_a_long_list(spark):
+    """Ten thousand members: a row for each, from the named head alone."""
+    members = [u(f"m{k}") for k in range(10_000)]
+    rows = triple_frame(spark, [(I, owl("unionOf"), u("l")), *cells(u("l"), *members)])
+    heads = rows.where(F.col("p") == owl("unionOf")).select("o")
+    got = list_members(rows, Workspace(spark), heads=heads)
+    assert {tuple(r) for r in got.collect()} == {(u("l"), MEMBER, m) for m in members}
+
+
 def test_cells_that_come_later(spark):
     c = Closure(spark, ["cls-int2", "cls-int1"])
     c.add(triple_frame(spark, [(I, owl("intersectionOf"), u("l")), (X, TYPE, I), (Y, TYPE, A), (Y, TYPE, B)]))

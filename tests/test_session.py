@@ -23,6 +23,14 @@ def rows(df):
     return {tuple(r) for r in df.collect()}
 
 
+def test_names_of_the_package():
+    import axiomill
+
+    assert axiomill.Reasoner is Reasoner and axiomill.Options is Options and axiomill.__version__
+    with pytest.raises(AttributeError):
+        axiomill.nothing  # noqa: B018
+
+
 def test_additions_and_removals(spark):
     r = Reasoner(spark)
     r.load_triples(triple_frame(spark, [SUB, (u("x"), TYPE, u("B"))]))
